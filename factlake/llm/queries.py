@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlake.llm import bpe
+from factlake.llm import bpe, simhash
 from factlake.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read_table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 QUERIES: dict[str, Query] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash": op5_simhash,
 }
 
 SQL: dict[str, str] = {}
