@@ -26,11 +26,13 @@ from pyspark.sql import types as T
 from factlake.llm.common import bounded_batches, free_name
 
 #: Entries of one generation of the cache of a Python worker; it has two: a full young one becomes the old one.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 #: Longer pieces are not kept in the cache, only encoded.
 CACHE_PIECE = 64
 #: Words of up to so many bytes are merged together, so many at a time; longer ones alone, by the same tree.
 BLOCK_BYTES, BLOCK_WORDS = 64, 4096
+#: Of text in a batch: its pieces are held as Python strings, many times their bytes.
+BATCH_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,10 +186,6 @@ class Encoder:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        table: list[bytes | None] = [None] * self.pairs.base
-        for token, rank in self.ranks.items():
-            table[rank] = token
-        self.table = pa.array(table, type=pa.large_binary())
 
     def chunks(self, text: str) -> list[str]:
         """Pieces that merge independently: a space before a non-space always starts a pre-token."""
@@ -246,18 +244,24 @@ class Encoder:
             for i in range(0, len(names), BLOCK_WORDS):
                 found.update(zip(names[i : i + BLOCK_WORDS], merge_block(block[i : i + BLOCK_WORDS], self.single, self.pairs), strict=True))
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        return self.table.take(ids)
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(maxsize=4)
+def token_table(path: str) -> pa.Array:
+    """The bytes of each id."""
+    ranks = load_ranks(path)
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, type=pa.large_binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with a column of the ids of its texts (array of int). Map-only: no shuffle."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH_BYTES)
     name = free_name(df, out)
     # Only the texts need ids; the other columns pass beside them.
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False), False)])
@@ -274,19 +278,19 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with a binary column of the bytes that its ids stand for. Null ids decode to no bytes."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, BATCH_BYTES)
     name = free_name(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType(), False)])
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        table = token_table(path)
         for batch in batches:
             lists = batch.column(at)
             lengths = np.array([x or 0 for x in lists.value_lengths().to_pylist()], dtype=np.int64)
-            taken = own.decode(lists.flatten())
+            taken = table.take(lists.flatten())
             if taken.null_count:
                 raise ValueError("an id is outside the vocabulary")
             starts = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1 + taken.offset)[taken.offset :]
@@ -302,7 +306,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The op4 query: digests of the ids and of the decoded bytes of every document."""
     source = docs.select("doc_id", "text")
-    done = decode(encode(source, path, pattern).drop("text"), path, pattern)
+    done = decode(encode(source, path, pattern).drop("text"), path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
