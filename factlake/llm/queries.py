@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, packing, simhash
+from factlake.llm import bpe, digest, packing, simhash
 from factlake.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.with_next(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op9_quartile_digest": op9_quartile_digest,
 }
 
 SQL: dict[str, str] = {}
