@@ -72,7 +72,7 @@ SQL = f"""
 WITH pieces AS (
     SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
 ), lines AS (
-    SELECT source, unnest(list_distinct(list_filter(list_transform(parts, x -> trim(x, chr(32) || chr(9) || chr(13))), x -> length(x) > 0))) AS line FROM pieces
+    SELECT source, unnest(list_distinct(list_filter(list_transform(parts, lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: length(x) > 0))) AS line FROM pieces
 ), totals AS (
     SELECT source, count(*) AS pages FROM documents GROUP BY source
 ), found AS (
@@ -82,10 +82,10 @@ WITH pieces AS (
     SELECT source, list(line) AS lines FROM found GROUP BY source
 ), kept AS (
     SELECT p.doc_id, p.source, p.text, p.parts, s.lines,
-        list_filter(p.parts, x -> NOT list_contains(coalesce(s.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) AS kept
+        list_filter(p.parts, lambda x: NOT list_contains(coalesce(s.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) AS kept
     FROM pieces p LEFT JOIN sets s ON p.source IS NOT DISTINCT FROM s.source
 ), judged AS (
-    SELECT *, len(list_filter(kept, x -> length(trim(x, chr(32) || chr(9) || chr(13))) > 0)) > 0 AND lines IS NOT NULL AS remains FROM kept
+    SELECT *, len(list_filter(kept, lambda x: length(trim(x, chr(32) || chr(9) || chr(13))) > 0)) > 0 AND lines IS NOT NULL AS remains FROM kept
 )
 SELECT doc_id, source, CASE WHEN remains THEN array_to_string(kept, chr(10)) ELSE text END AS text,
     CAST(CASE WHEN remains THEN len(parts) - len(kept) ELSE 0 END AS BIGINT) AS dropped_lines

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, digest, line_dedup, packing, quality, simhash
-from factlake.llm.common import read_table
+from factlake.llm import bpe, digest, line_dedup, packing, quality, sharding, simhash, warc
+from factlake.llm.common import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive by groups of the table's files, are compacted, and are read back by the last manifest."""
+    store = sharding.ShardStore(spark, scratch(spark, "shards"))
+    for arrival in sharding.arrivals(read_table(spark, sf_dir, "documents")):
+        store.append(arrival)
+    store.compact()
+    return store.read()
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -44,15 +53,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    known = warc.payloads(pages, "page_id", "html")
+    path = scratch(spark, "warc")
+    records = warc.convert(warc.arc_records(pages, "page_id", "url", "html"), warc.copies(known))
+    warc.write(records, path, warc.file_records(known))
+    found = warc.read(spark, path)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op7_warc": op7_warc,
     "op9_quartile_digest": op9_quartile_digest,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "op7_warc": warc.SQL,
 }
