@@ -26,11 +26,11 @@ BROADCAST_BYTES = 8 << 20
 
 
 def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(F.lit(" \t\r"), line))
+    return F.xxhash64(F.trim(line, F.lit(" \t\r")))
 
 
 def _not_blank(line: Column) -> Column:
-    return F.length(F.trim(F.lit(" \t\r"), line)) > 0
+    return F.length(F.trim(line, F.lit(" \t\r"))) > 0
 
 
 def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
