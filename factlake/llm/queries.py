@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import bpe, digest, line_dedup, packing, quality, sharding, simhash, warc
+from factlake.llm import bpe, digest, hash_forest, line_dedup, packing, quality, sharding, simhash, url_rules, warc
 from factlake.llm.common import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+CURATED = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents serve for the pages of the same id: of low quality or toxic is to be blocked."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    rules = url_rules.mine(pages.join(labels, "page_id").select("url", "block"))
+    return url_rules.judge(pages, CURATED, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     known = warc.payloads(pages, "page_id", "html")
@@ -63,13 +74,19 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(read_table(spark, sf_dir, "embeddings"), every=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op6_url_rules": op6_url_rules,
     "op7_warc": op7_warc,
+    "op8_hash_forest": op8_hash_forest,
     "op9_quartile_digest": op9_quartile_digest,
     "op10_quality": op10_quality,
 }
