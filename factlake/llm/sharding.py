@@ -156,13 +156,25 @@ class ShardStore:
             for at in range(0, len(groups), JOB_GROUPS):
                 some = groups[at : at + JOB_GROUPS]
                 below = f"data/{uuid.uuid4().hex}"
-                merged = None
-                for group in some:
-                    one = self._scan(schema, group).coalesce(1)
-                    merged = one if merged is None else merged.union(one)
-                merged.write.parquet(f"{self.root}/{below}")
+                self._merge(schema, some, f"{self.root}/{below}")
                 version = self._commit(schema, {s.path for g in some for s in g}, self._written(below, min(s.arrival for g in some for s in g)))
 
+    def _merge(self, schema: str, groups: list[list[Shard]], path: str) -> None:
+        """One task and one file a group. A union of single partitions would otherwise count as single itself, and put all groups in one task."""
+        before = self.spark.conf.get("spark.sql.unionOutputPartitioning", None)
+        self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+        try:
+            merged = None
+            for group in groups:
+                one = self._scan(schema, group).coalesce(1)
+                merged = one if merged is None else merged.union(one)
+            merged.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset("spark.sql.unionOutputPartitioning")
+            else:
+                self.spark.conf.set("spark.sql.unionOutputPartitioning", before)
+
     def _scan(self, schema: str, shards: list[Shard]) -> DataFrame:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*[f"{self.root}/{s.path}" for s in shards])
 
