@@ -29,8 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash over five-word shingles: the one with the smallest doc_id."""
-    return simhash.keep_one(docs.select(*COLUMNS), words=5, radius=4)
+    """One document of each group of near copies (similarity 0.8 of five-word shingles, found by SimHash): the one with the smallest doc_id."""
+    return simhash.keep_one(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

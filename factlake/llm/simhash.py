@@ -12,6 +12,12 @@ so that a prefix has about ``BUCKET_VARIANTS`` variants. A crowded prefix is spl
 memory of a task stays bounded. Links of a prefix leave it as a star; stars are joined by alternating large-star
 and small-star rounds, each cut by a checkpoint.
 
+Near-dedup of a corpus (keep_one) goes by the similarity of word-shingle sets. There a document has TABLES fingerprints of 32 bits, and the ball
+has radius 2: two documents of similarity 0.8 meet in one of the tables 95 times in 100, for 33 variants a table. The pairs that meet
+(each with the smallest of its variant, and with its neighbour) are verified: by all bits together where these are sure, by their whole texts
+where they are not. Documents of equal fingerprint in a table meet as a star around the smallest, ahead of the shuffle of variants, so a
+large group of near copies arrives there as its few different fingerprints.
+
 Defined results: a null text is an empty text; a text without words has fingerprint zero and links like
 any other; repeated rows get the same component; a null doc_id takes part, but its component's id is the smallest
 doc_id that isn't null (null if there is none). doc_ids are below 2**62.
@@ -19,7 +25,8 @@ doc_id that isn't null (null if there is none). doc_ids are below 2**62.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,35 +40,88 @@ from factlake.llm.common import bounded_batches, cut, free_name, release
 
 BITS = 64
 #: Variants that a prefix has on average, and the most that are sorted at a time: a prefix with more is split.
-BUCKET_VARIANTS, SORTED_VARIANTS = 1 << 19, 1 << 21
+BUCKET_VARIANTS, SORTED_VARIANTS = 1 << 20, 1 << 21
 #: Ids from here on stand for fingerprints that have no doc_id.
 NAMELESS = 1 << 62
 SEED = 42
-#: One 64-bit fingerprint within 4 bits finds 2 of 5 pairs of Jaccard similarity 0.9; so many find nearly all, and most from about 0.83 on.
-TABLES = 12
+#: Fingerprints of near-dedup, their bits and radius, and the tables whose variants are shuffled at a time.
+TABLES, TABLE_BITS, TABLE_RADIUS, TABLES_AT_ONCE = 24, 32, 2, 8
+SIMILARITY = 0.8
+#: Standard deviations of the share of differing bits beyond which a pair is judged by it alone.
+SURE = 3.3
+WORDS_KEPT = 500_000
 
 
-def fingerprint(text: str, words: int, tables: int = 1) -> list[int]:
-    """The SimHashes of a text's word shingles, repeats included: the first of their XXH64, the others of further mixtures of it."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 of each of a text's word shingles, in order; of all its words if they are fewer; none of a text without words."""
     found = text.encode().lower().split()  # on bytes: A-Z, and white space of ASCII
     if not found:
-        return [0] * tables
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     digest = xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = np.array([digest(joined, SEED)], dtype="<u8")
-    else:
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends - lengths + 1)[: len(found) - words + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros((tables, BITS), dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 13):
-        part = hashes[i : i + (1 << 13)]
-        for t in range(tables):
-            bits = np.unpackbits(_mixed(part, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[t] += bits.sum(axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1)[: len(found) - words + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def simhashes(hashes: list[np.ndarray], tables: int = 1) -> np.ndarray:
+    """SimHashes (rows by tables) of each array of hashes: a bit is set if it is in over half of them. An empty array has zeros.
+
+    Bits are counted eight at a time, each in a byte of a 64-bit sum of at most 255 hashes.
+    """
+    out = np.zeros((len(hashes), tables), dtype=np.uint64)
+    lengths = np.array([len(x) for x in hashes], dtype=np.int64)
+    some = np.nonzero(lengths)[0]
+    if not len(some):
+        return out
+    every, lengths = np.concatenate(hashes), lengths[some]
+    parts = -(-lengths // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(lengths) - lengths, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    lanes = np.uint64(0x0101010101010101)
+    for t in range(tables):
+        mixed = _mixed(every, t)
+        ones = np.empty((len(some), 8, 8), dtype=np.int64)
+        for k in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(k)) & lanes, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[:, :, k] = np.add.reduceat(sums.astype(np.int64), first, axis=0)
+        bits = ones.reshape(-1, BITS) * 2 > lengths[:, None]
+        out[some, t] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def fingerprint(text: str, words: int, tables: int = 1) -> list[int]:
+    """The SimHashes of a text's word shingles, repeats included: the first of their XXH64, the others of further mixtures of it."""
+    return simhashes([shingle_hashes(text, words)], tables)[0].tolist()
+
+
+class _WordHashes(dict):
+    """The XXH64 of words, kept for a worker's life, in bounded memory."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_WORDS = _WordHashes()
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """A 64-bit hash of each distinct word shingle, sorted: those of its words, mixed in order. Shingles and no-word texts as in shingle_hashes()."""
+    found = text.encode().lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    own = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
+    width = min(words, len(own))
+    mixed = np.zeros(len(own) - width + 1, dtype=np.uint64)
+    for k in range(width):
+        mixed = _mixed(mixed ^ own[k : k + len(mixed)], k + 1)
+    return np.unique(mixed)
 
 
 def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
@@ -74,8 +134,8 @@ def _mixed(hashes: np.ndarray, table: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int, tables: int = 1, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` without its text, with an array of ``tables`` fingerprints (signed 64-bit). Map-only."""
+def fingerprints(docs: DataFrame, words: int, tables: int = 1, text: str = "text", out: str = "fingerprint", hashes: Callable[[str, int], np.ndarray] = shingle_hashes) -> DataFrame:
+    """``docs`` without its text, with an array of ``tables`` fingerprints (signed 64-bit) of what ``hashes`` gives. Map-only."""
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     name = free_name(docs.select(*rest), out)
@@ -85,7 +145,7 @@ def fingerprints(docs: DataFrame, words: int, tables: int = 1, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            values = np.array([fingerprint(x or "", words, tables) for x in texts], dtype=np.uint64).ravel().view(np.int64)
+            values = simhashes([hashes(x or "", words) for x in texts], tables).ravel().view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(values))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists], names=[*rest, name])
 
@@ -113,14 +173,17 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = SORTED_VARIANTS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) of the distinct fingerprints that share a variant under ``prefix``, a value of ``bits`` bits."""
+def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = SORTED_VARIANTS, width: int = BITS, stars: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) of the distinct fingerprints of ``width`` bits that share a variant under ``prefix``, a value of ``bits`` bits.
+
+    Those of a variant are linked in a chain; with ``stars`` in a chain by position, and each to the first as well.
+    """
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     waiting = [(np.arange(len(prints)), prefix, bits)]
     while waiting:
         own, value, depth = waiting.pop()
-        low = BITS - depth
+        low = width - depth
         top = prints[own] >> np.uint64(low) if depth else np.zeros(len(own), dtype=np.uint64)
         spare = half - _ones(top ^ np.uint64(value))
         own, spare = own[spare >= 0], spare[spare >= 0]
@@ -139,11 +202,15 @@ def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: in
                 variants.append((head | ((prints[of] & tail)[:, None] ^ masks_of(low, k)[None, :])).ravel())
                 owners.append(np.repeat(of, sizes[k]))
         variant, owner = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(variant)
+        order = np.lexsort((owner, variant)) if stars else np.argsort(variant)
         variant, owner = variant[order], owner[order]
-        meet = np.nonzero(variant[1:] == variant[:-1])[0]
+        same = variant[1:] == variant[:-1]
+        meet = np.nonzero(same)[0]
         if len(meet):
             a, b = owner[meet], owner[meet + 1]
+            if stars:
+                firsts = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(owner)), 0))
+                a, b = np.concatenate([a, owner[firsts[meet + 1]]]), np.concatenate([b, b])
             pairs = np.divmod(np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b)), len(prints))
             # What meets is within twice the half radius; the check costs nothing and guards the expansion.
             near = _ones(prints[pairs[0]] ^ prints[pairs[1]]) <= 2 * half
@@ -162,24 +229,28 @@ def masks_of(bits: int, most: int) -> np.ndarray:
     return _MASKS[bits, most]
 
 
-def prefix_bits(count: int, half: int) -> int:
+def prefix_bits(count: int, half: int, width: int = BITS) -> int:
     """Bits of the prefix by which variants are shuffled, for so many fingerprints."""
-    variants = max(1, count) * len(masks(BITS, half))
-    return min(32, max(6, (variants // BUCKET_VARIANTS).bit_length()))
+    variants = max(1, count) * len(masks(width, half))
+    return min(width // 2, max(6 if width == BITS else 3, (variants // BUCKET_VARIANTS).bit_length()))
 
 
-def linked(nodes: DataFrame, radius: int, count: int) -> DataFrame:
-    """Links (a, b), a > b, of ``nodes`` (node, print: distinct prints) whose prints differ in at most ``radius`` bits: a star for each prefix, so a third node may stand between two.
+def linked(nodes: DataFrame, radius: int, count: int, width: int = BITS, pairs: bool = False) -> DataFrame:
+    """Links (a, b), a > b, of ``nodes`` (node, print: distinct prints) whose prints of ``width`` bits differ in at most ``radius`` bits.
 
-    Only an even radius can be halved, and only then is whatever meets in a variant within the radius.
+    A star for each prefix, so a third node may stand between two; with ``pairs`` what link_prefix() gives as stars, for pairs that are
+    yet to be verified. A column ``table`` of nodes keeps several sets of prints apart. Only an even radius can be halved, and only then is
+    whatever meets in a variant within the radius.
     """
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even")
     half = radius // 2
-    p = prefix_bits(count, half)
-    top = F.shiftrightunsigned(F.col("print"), BITS - p)
+    p = prefix_bits(count, half, width)
+    top = F.shiftrightunsigned(F.col("print"), width - p)
     steps = F.array(*[F.lit(m).cast("long") for m in masks(p, half)])
-    sent = nodes.select("node", "print", F.explode(F.transform(steps, lambda m: top.bitwiseXOR(m))).alias("prefix"))
+    table = F.col("table").cast("long") if "table" in nodes.columns else F.lit(0).cast("long")
+    keys = F.transform(steps, lambda m: F.shiftleft(table, p).bitwiseOR(top.bitwiseXOR(m)))
+    sent = nodes.select("node", "print", F.explode(keys).alias("prefix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by prefix; a prefix may span batches."""
@@ -190,8 +261,10 @@ def linked(nodes: DataFrame, radius: int, count: int) -> DataFrame:
             node, prints = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).view(np.uint64)
             order = np.argsort(node)
             node, prints = node[order], prints[order]
-            a, b = link_prefix(prints, at, p, half)
-            if len(a):
+            a, b = link_prefix(prints, at & ((1 << p) - 1), p, half, width=width, stars=pairs)
+            if len(a) and pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(node[b]), pa.array(node[a])], names=["a", "b"])
+            elif len(a):
                 root = _roots(len(node), a, b)
                 far = np.nonzero(root != np.arange(len(node)))[0]
                 yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], names=["a", "b"])
@@ -245,47 +318,84 @@ def _hex(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
 
-def groups(docs: DataFrame, words: int = 5, radius: int = 4, tables: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (hex, of the first table), component_id.
+def groups(docs: DataFrame, words: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint (hex), component_id of fingerprints linked at ``radius`` bits or fewer."""
+    prints = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words, out="prints"))
+    prints = prints.select("doc_id", F.col("prints")[0].alias("print"))
+    # A fingerprint's node is its smallest doc_id; copies of a text meet here, before anything is emitted.
+    named = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    nodes = cut(named.select("print", F.coalesce("least", F.lit(NAMELESS).bitwiseOR(F.abs(F.shiftright(F.xxhash64("print"), 2)))).alias("node")))
+    links = cut(linked(nodes, radius, nodes.count()))
+    release(docs.sparkSession)
+    found = components(links)
+    named = cut(nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component")))
+    return prints.join(named, "print").select("doc_id", _hex(F.col("print")).alias("fingerprint"), F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of hashes (sorted, distinct); 1 if both are empty."""
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
 
-    With several tables two documents are linked if any of their fingerprints are within the radius.
+def bounds(similarity: float, bits: int) -> tuple[int, int]:
+    """Differing bits up to which a pair is surely as similar, and from beyond which it surely is not."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = SURE * math.sqrt(apart * (1 - apart) / bits)
+    return math.floor((apart - spread) * bits), math.ceil((apart + spread) * bits)
+
+
+def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text; no null ids): (doc_id, node) of all rows, and links (a, b), a > b, of nodes of similar texts.
+
+    A node is the smallest doc_id of those whose fingerprints are all equal.
     """
-    prints = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words, tables, out="prints"))
-    # A fingerprint's node is its smallest doc_id; copies of a text meet here, before anything is emitted.
-    key = "prints"
-    named = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
-    nodes = cut(named.select(key, F.coalesce("least", F.lit(NAMELESS).bitwiseOR(F.abs(F.shiftright(F.xxhash64(key), 2)))).alias("node")))
-    edges = None
-    for i in range(tables):
-        own = nodes.groupBy(F.col(key)[i].alias("print")).agg(F.min("node").alias("node"))
-        if tables > 1:
-            own = cut(own)
-            same = nodes.select("node", F.col(key)[i].alias("print")).join(own.withColumnRenamed("node", "b"), "print").filter("node <> b").select(F.col("node").alias("a"), "b")
-            edges = same if edges is None else edges.union(same)
-        else:
-            own = nodes.select("node", F.col(key)[0].alias("print"))
-        # Each table of links is cut at once, so that its shuffle can go before the next one's begins.
-        links = cut(linked(own, radius, own.count()))
-        edges = links if edges is None else edges.union(links)
-        release(docs.sparkSession)
-    found = components(edges)
-    named = cut(nodes.join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component")))
-    joined = prints.join(named, key)
-    return joined.select(
-        "doc_id",
-        _hex(F.col(key)[0]).alias("fingerprint"),
-        F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"),
-    )
-
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4, tables: int = TABLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    spark = docs.sparkSession
+    prints = cut(fingerprints(docs, words, TABLES * TABLE_BITS // BITS, out="prints", hashes=shingle_set))
+    nodes = cut(prints.groupBy("prints").agg(F.min("doc_id").alias("node")))
+    count, found = nodes.count(), None
+    for first in range(0, TABLES, TABLES_AT_ONCE):
+        tables = range(first, min(first + TABLES_AT_ONCE, TABLES))
+        each = [F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col("prints")[t // 2], TABLE_BITS * (t % 2)).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("print")) for t in tables]
+        own = nodes.select("node", F.inline(F.array(*each)))
+        least = cut(own.groupBy("table", "print").agg(F.min("node").alias("least")))
+        met = own.join(least, ["table", "print"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        met = cut(met.union(linked(least.withColumnRenamed("least", "node"), TABLE_RADIUS, count, TABLE_BITS, pairs=True)))
+        found = met if found is None else found.union(met)
+        # The shuffles of these tables can go before those of the next are written.
+        release(spark)
+    sides = [nodes.select(F.col("node").alias(x), F.col("prints").alias(f"prints_{x}")) for x in ("a", "b")]
+    apart = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sure, most = bounds(similarity, TABLES * TABLE_BITS)
+    pairs = cut(found.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= most))
+    unsure = pairs.filter(F.col("apart") > sure).select("a", "b")
+    wanted = unsure.select(F.col("a").alias("doc_id")).union(unsure.select(F.col("b").alias("doc_id"))).distinct()
+    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
+    asked = unsure.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            sets = {t: shingle_set(t or "", words) for t in {*x, *y}}
+            near = pa.array([jaccard(sets[p], sets[q]) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    exact = asked.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    links = cut(pairs.filter(F.col("apart") <= sure).select("a", "b").union(exact))
+    release(spark)
+    return prints.join(nodes, "prints").select("doc_id", "node"), links
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that are near copies of a row with a smaller doc_id.
 
     The document that stays is the one whose doc_id is its component's; of rows that repeat its doc_id, one stays (the first
     by all columns). Rows with a null doc_id stay: they can't be told apart.
     """
-    found = groups(docs, words, radius, tables, doc_id, text)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id IS NOT NULL")
+    named, links = near_links(own, words, similarity)
+    found = named.join(components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    gone = cut(found.filter("doc_id <> component").select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
     ids = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count(F.lit(1)).alias("_n"))
     if ids.filter("_n > 1").isEmpty():

@@ -149,6 +149,42 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def test_near_dedup_against_exact_similarity(spark):
+    """Links are only between texts of similarity 0.8 or more, and nearly all of these are found."""
+    rng = random.Random(3)
+    texts = []
+    for group in range(12):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(60 + 30 * group)]
+        texts.append(" ".join(base))
+        for edits in range(1, 9):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    texts += ["", None, "one", "One", "two words"]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def similar(x, y):
+        return len(x & y) / len(x | y) if x or y else 1.0
+
+    sets = [shingles(t) for t in texts]
+    true = {(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j]) >= 0.8}
+    docs = docs_frame(spark, texts).select("doc_id", "text")
+    named, links = simhash.near_links(docs, 5, 0.8)
+    node = dict(named.collect())
+    first = min(node)
+    found = {(r.a - first, r.b - first) for r in links.collect()} | {(i, node[i + first] - first) for i in range(len(texts)) if node[i + first] != i + first}
+    assert found <= true
+    group = list(range(len(texts)))
+    for a, b in sorted(found):
+        group = [group[b] if g == group[a] else g for g in group]
+    assert sum(group[a] == group[b] for a, b in true) >= 0.97 * len(true)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_keep_one_handles_nulls_and_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, "quite another text of more words"), (7, "quite another text of more words"), (8, None)]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
