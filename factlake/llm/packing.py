@@ -20,6 +20,7 @@ import json
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
 BLOCK_TOKENS = 1 << 20
 #: Entries of one generation of a worker's cache of words; it has two.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 CACHE_PIECE = 48
 
 
@@ -100,7 +101,8 @@ class WordTokenizer:
     def _word(self, word: str) -> list[int]:
         parts = [word] if word.isalpha() else self.split.findall(word)
         model = self.whole.model
-        return [t.id for part in parts for t in model.tokenize(part.encode().decode("latin-1").translate(self.characters))]
+        # What _plain lets through of ASCII stands for itself.
+        return [t.id for part in parts for t in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.characters))]
 
 
 def _byte_characters() -> dict[int, int]:
@@ -110,8 +112,11 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+_SHORT = [Struct(f"<{n}I") for n in range(17)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return Struct(f"<{len(ids)}I").pack(*ids) if len(ids) > 16 else _SHORT[len(ids)].pack(*ids)
 
 
 @lru_cache(maxsize=2)
