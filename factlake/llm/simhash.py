@@ -14,9 +14,11 @@ and small-star rounds, each cut by a checkpoint.
 
 Near-dedup of a corpus (keep_one) goes by the similarity of word-shingle sets. There a document has TABLES fingerprints of 32 bits, and the ball
 has radius 2: two documents of similarity 0.8 meet in one of the tables 95 times in 100, for 33 variants a table. The pairs that meet
-(each with the smallest of its variant, and with its neighbour) are verified: by all bits together where these are sure, by their whole texts
-where they are not. Documents of equal fingerprint in a table meet as a star around the smallest, ahead of the shuffle of variants, so a
-large group of near copies arrives there as its few different fingerprints.
+are verified: by all bits together where these are sure, by their whole texts where they are not. First each is compared with the smallest of its
+variant and with its neighbour; documents of equal fingerprint in a table meet as a star around the smallest, ahead of the shuffle of variants, so a
+large group of near copies arrives there as its few different fingerprints. Similarity is not transitive, so then all other pairs that meet
+are compared too, but for those that verified links already join: a fingerprint has at most 528 others within the radius, and of their documents only
+pairs of different components are made.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and links like
 any other; repeated rows get the same component; a null doc_id takes part, but its component's id is the smallest
@@ -173,10 +175,11 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = SORTED_VARIANTS, width: int = BITS, stars: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = SORTED_VARIANTS, width: int = BITS, stars: bool = False, ends: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) of the distinct fingerprints of ``width`` bits that share a variant under ``prefix``, a value of ``bits`` bits.
 
-    Those of a variant are linked in a chain; with ``stars`` in a chain by position, and each to the first as well.
+    Those of a variant are linked in a chain; with ``stars`` in a chain by position, and each to the first as well; with ``ends``, the lowest and
+    the highest component of each fingerprint, in all pairs but those of a single component.
     """
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -208,7 +211,16 @@ def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: in
         meet = np.nonzero(same)[0]
         if len(meet):
             a, b = owner[meet], owner[meet + 1]
-            if stars:
+            if ends is not None:
+                # A variant has no more distinct fingerprints than there are masks, so these steps are as few.
+                every, step = [], 1
+                while len(at := np.nonzero(variant[step:] == variant[:-step])[0]):
+                    x, y = owner[at], owner[at + step]
+                    apart = (ends[0][x] != ends[1][x]) | (ends[0][y] != ends[1][y]) | (ends[0][x] != ends[0][y])
+                    every.append((x[apart], y[apart]))
+                    step += 1
+                a, b = (np.concatenate([z[k] for z in every]) for k in (0, 1))
+            elif stars:
                 firsts = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(owner)), 0))
                 a, b = np.concatenate([a, owner[firsts[meet + 1]]]), np.concatenate([b, b])
             pairs = np.divmod(np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b)), len(prints))
@@ -287,6 +299,56 @@ def linked(nodes: DataFrame, radius: int, count: int, width: int = BITS, pairs:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def unjoined(buckets: DataFrame, radius: int, count: int, width: int) -> DataFrame:
+    """(table, print_a, print_b): all pairs of ``buckets`` (table, print, low, high: ends of its components) within ``radius`` bits that hold two components or more.
+
+    A bucket of several components is a pair with itself. What meets is within twice half the radius, so an even radius is exact.
+    """
+    half = radius // 2
+    p = prefix_bits(count, half, width)
+    top = F.shiftrightunsigned(F.col("print"), width - p)
+    steps = F.array(*[F.lit(m).cast("long") for m in masks(p, half)])
+    keys = F.transform(steps, lambda m: F.shiftleft(F.col("table").cast("long"), p).bitwiseOR(top.bitwiseXOR(m)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            prints, low, high = np.concatenate(held, axis=1)
+            a, b = link_prefix(prints.view(np.uint64), at & ((1 << p) - 1), p, half, width=width, ends=(low, high))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), at >> p, dtype=np.int64)), pa.array(prints[a]), pa.array(prints[b])], names=["table", "print_a", "print_b"])
+
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            prefix = batch.column(3).to_numpy(zero_copy_only=False)
+            cuts = np.nonzero(np.diff(prefix))[0] + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(prefix)], strict=True):
+                if a == b:
+                    continue
+                if at is not None and prefix[a] != at:
+                    yield from close()
+                    held = []
+                at = int(prefix[a])
+                held.append(own[:, a:b])
+        if held:
+            yield from close()
+
+    dealt = buckets.select("print", "low", "high", F.explode(keys).alias("prefix")).repartition("prefix").sortWithinPartitions("prefix")
+    # A pair may meet in several prefixes, and in either order.
+    met = dealt.mapInArrow(run, "table long, print_a long, print_b long")
+    met = met.select("table", F.least("print_a", "print_b").alias("print_a"), F.greatest("print_a", "print_b").alias("print_b"))
+    return met.union(buckets.filter("low <> high").select(F.col("table").cast("long"), "print", "print")).distinct()
+
+
+def between(met: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b), a > b: the pairs of nodes of different components, one in each of two buckets that ``met``; ``own`` has table, print, node, component."""
+    sides = [own.select("table", F.col("print").alias(f"print_{x}"), F.col("node").alias(f"node_{x}"), F.col("component").alias(f"component_{x}")) for x in ("a", "b")]
+    found = met.join(sides[0], ["table", "print_a"]).join(sides[1], ["table", "print_b"]).filter("component_a <> component_b")
+    return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over distinct edges (a, b), a > b."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -354,24 +416,15 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
     prints = cut(fingerprints(docs, words, TABLES * TABLE_BITS // BITS, out="prints", hashes=shingle_set))
     nodes = cut(prints.groupBy("prints").agg(F.min("doc_id").alias("node")))
     count, found = nodes.count(), None
-    for first in range(0, TABLES, TABLES_AT_ONCE):
-        tables = range(first, min(first + TABLES_AT_ONCE, TABLES))
-        each = [F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col("prints")[t // 2], TABLE_BITS * (t % 2)).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("print")) for t in tables]
-        own = nodes.select("node", F.inline(F.array(*each)))
-        least = cut(own.groupBy("table", "print").agg(F.min("node").alias("least")))
-        met = own.join(least, ["table", "print"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-        met = cut(met.union(linked(least.withColumnRenamed("least", "node"), TABLE_RADIUS, count, TABLE_BITS, pairs=True)))
-        found = met if found is None else found.union(met)
-        # The shuffles of these tables can go before those of the next are written.
-        release(spark)
+    sure, most = bounds(similarity, TABLES * TABLE_BITS)
     sides = [nodes.select(F.col("node").alias(x), F.col("prints").alias(f"prints_{x}")) for x in ("a", "b")]
     apart = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    sure, most = bounds(similarity, TABLES * TABLE_BITS)
-    pairs = cut(found.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= most))
-    unsure = pairs.filter(F.col("apart") > sure).select("a", "b")
-    wanted = unsure.select(F.col("a").alias("doc_id")).union(unsure.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi"))
-    asked = unsure.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def spread(of: DataFrame, first: int) -> DataFrame:
+        """A row for each table from ``first`` on that is shuffled at a time: the table and its print besides the columns of ``of``."""
+        tables = range(first, min(first + TABLES_AT_ONCE, TABLES))
+        each = [F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col("prints")[t // 2], TABLE_BITS * (t % 2)).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("print")) for t in tables]
+        return of.select(*[c for c in of.columns if c != "prints"], F.inline(F.array(*each)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,9 +433,41 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
             near = pa.array([jaccard(sets[p], sets[q]) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-    exact = asked.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-    links = cut(pairs.filter(F.col("apart") <= sure).select("a", "b").union(exact))
-    release(spark)
+    def verified(found: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that the bits leave open or confirm, without those ``known``, and the links among them."""
+        pairs = found.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= most)
+        pairs = cut(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        unsure = pairs.filter(F.col("apart") > sure).select("a", "b")
+        wanted = unsure.select(F.col("a").alias("doc_id")).union(unsure.select(F.col("b").alias("doc_id"))).distinct()
+        texts = cut(docs.join(wanted, "doc_id", "left_semi"))
+        asked = unsure.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        exact = asked.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+        links = cut(pairs.filter(F.col("apart") <= sure).select("a", "b").union(exact))
+        release(spark)
+        return pairs, links
+
+    for first in range(0, TABLES, TABLES_AT_ONCE):
+        own = spread(nodes, first)
+        least = cut(own.groupBy("table", "print").agg(F.min("node").alias("least")))
+        met = own.join(least, ["table", "print"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        met = cut(met.union(linked(least.withColumnRenamed("least", "node"), TABLE_RADIUS, count, TABLE_BITS, pairs=True)))
+        found = met if found is None else found.union(met)
+        # The shuffles of these tables can go before those of the next are written.
+        release(spark)
+    pairs, links = verified(found)
+    # Whatever meets another has been in a pair by now, so all other nodes are out of it.
+    some = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    joined = nodes.join(some, "node", "left_semi").join(components(links), "node", "left")
+    joined = cut(joined.select("node", "prints", F.coalesce("component", "node").alias("component")))
+    found = None
+    for first in range(0, TABLES, TABLES_AT_ONCE):
+        own = spread(joined, first)
+        buckets = cut(own.groupBy("table", "print").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+        met = cut(unjoined(buckets, TABLE_RADIUS, count, TABLE_BITS))
+        met = cut(between(met, own))
+        found = met if found is None else found.union(met)
+        release(spark)
+    links = links.union(verified(found, pairs)[1])
     return prints.join(nodes, "prints").select("doc_id", "node"), links
 
 

@@ -185,6 +185,31 @@ def test_near_dedup_against_exact_similarity(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_compares_all_that_meet(spark):
+    """1,200 copies of one original of a middle id, each 0.8 similar to it and less to one another: a star that only pairs with the original hold together."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(149)]
+    texts = []
+    for _ in range(1200):
+        copy = list(base)
+        start = rng.randrange(2, 134)
+        copy[start : start + 12] = [f"new{rng.random()}" for _ in range(12)]
+        texts.append(" ".join(copy))
+    texts[600] = " ".join(base)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    near = [len(sets[600] & x) / len(sets[600] | x) >= 0.8 for x in sets]
+    assert all(near)
+    frame = docs_frame(spark, texts).select("doc_id", "text")
+    named, links = simhash.near_links(frame, 5, 0.8)
+    first = min(r.doc_id for r in named.collect())
+    pairs = [(r.a - first, r.b - first) for r in links.collect()]
+    assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.75 for a, b in pairs)
+    roots = simhash._roots(len(texts), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    together = (roots == roots[600]).sum()
+    print("joined with the original:", together)
+    assert together >= 0.9 * len(texts)
+
+
 def test_keep_one_handles_nulls_and_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, "quite another text of more words"), (7, "quite another text of more words"), (8, None)]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
