@@ -210,6 +210,22 @@ def test_near_dedup_compares_all_that_meet(spark):
     assert together >= 0.9 * len(texts)
 
 
+def test_near_dedup_of_short_texts_is_exact(spark):
+    """Texts of a few shingles, some of them common to many: exactly the pairs of similarity 0.8 or more are joined."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(150):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([8, 8, 16, 24]))]
+        texts += [" ".join(base), " ".join([*base, f"more{i}"]), " ".join(["home about our news contact"] + base[:3])]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    true = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    named, links = simhash.near_links(docs_frame(spark, texts).select("doc_id", "text"), 5, 0.8)
+    assert dict(named.collect()) == {i: i for i in range(len(texts))}
+    found = {(r.a, r.b) for r in links.collect()}
+    print("linked:", len(found & true), "of", len(true))
+    assert len(true) >= 150 and found == true  # groups of two
+
+
 def test_keep_one_handles_nulls_and_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, "quite another text of more words"), (7, "quite another text of more words"), (8, None)]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
