@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.filters import quoted
+from factlake.functions.names import free_name
 
 log = logging.getLogger("factlake")
 KEEPS = ("none", "first", "last", "any")
@@ -17,25 +18,31 @@ def remove_duplicates(df: DataFrame, keep: str = "none", keys: list[str] | None
     """``df`` with one row of each key (all columns without ``keys``), or with none of a repeated key's rows.
 
     Rows have no order of their own: first and last go by ``order_by``, else by the position at which Spark reads them, which is
-    only repeatable for a source that is read the same way again.
+    only repeatable for a source that is read the same way again. Null keys are equal to each other. All of it is
+    combined before the shuffle, so a key that many rows share reaches one task as a few rows.
     """
     if keep not in KEEPS:
         raise ValueError(f"keep is one of {KEEPS}")
     by = keys or df.columns
     if keep == "any":
         return df.dropDuplicates(by)
-    over = Window.partitionBy(*map(quoted, by))
     if keep == "none":
-        return df.withColumn("_copies", F.count(F.lit(1)).over(over)).filter("_copies = 1").drop("_copies")
-    own = df if order_by else df.withColumn("_position", F.monotonically_increasing_id())
-    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by or ["_position"]]
+        copies = free_name(df.columns, "_copies")
+        rest = [c for c in df.columns if c not in by]
+        grouped = df.groupBy(*map(quoted, by)).agg(F.count(F.lit(1)).alias(copies), *[F.first(quoted(c)).alias(c) for c in rest])
+        return grouped.filter(F.col(copies) == 1).select(*map(quoted, df.columns))
+    at, rank = free_name(df.columns, "_position"), free_name(df.columns, "_rank")
+    own = df if order_by else df.withColumn(at, F.monotonically_increasing_id())
+    order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by or [at]]
     order = [c.desc() for c in order] if keep == "last" else [c.asc() for c in order]
-    return own.withColumn("_rank", F.row_number().over(over.orderBy(*order))).filter("_rank = 1").drop("_rank", "_position")
+    over = Window.partitionBy(*map(quoted, by)).orderBy(*order)
+    return own.withColumn(rank, F.row_number().over(over)).filter(F.col(rank) == 1).select(*map(quoted, df.columns))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, occurrences) of keys that several rows have."""
-    return df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
+    """(keys, occurrences) of keys that several rows have; the count's name is lengthened if a key has it."""
+    count = free_name(keys, "occurrences")
+    return df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias(count)).filter(F.col(count) > 1)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -23,7 +23,11 @@ _COMPARE = {
     ">=": lambda c, v: c >= v,
     "in": lambda c, v: c.isin(list(v)),
     "not in": lambda c, v: ~c.isin(list(v)),
+    # Of any column as text; % stands for any characters, _ for one.
+    "like": lambda c, v: c.cast("string").like(v),
+    "not like": lambda c, v: ~c.cast("string").like(v),
 }
+_PLAIN = {"in", "not in", "like", "not like"}
 
 
 def quoted(name: str) -> str:
@@ -36,7 +40,9 @@ def condition(term: Condition) -> Column:
     name, op, value = term
     if op.lower() not in _COMPARE:
         raise ValueError(f"unknown operator {op!r}")
-    return _COMPARE[op.lower()](F.col(quoted(name)), value if op.lower().endswith("in") else F.lit(value))
+    if op.lower().endswith("like") and not isinstance(value, str):
+        raise TypeError(f"{op} takes a text, not {value!r}")
+    return _COMPARE[op.lower()](F.col(quoted(name)), value if op.lower() in _PLAIN else F.lit(value))
 
 
 def disjunction(filters: Sequence) -> list[list[Condition]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.filters import quoted
+from factlake.functions.names import free_name
 
 SAMPLE = 10
 
@@ -62,15 +63,11 @@ def check_labels(label_for: Mapping[str, str], columns: Mapping[str, str], keys:
 
 def broken_codes(df: DataFrame, code: str, label: str) -> DataFrame:
     """(code, labels) of codes that don't determine their label: several, or some rows without. Null codes don't count."""
-    c, x = F.col(quoted(code)), F.col(quoted(label))
-    found = (
-        df.filter(c.isNotNull())
-        .groupBy(c.alias(code))
-        .agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.count(x).alias("_labelled"), F.count(F.lit(1)).alias("_rows"))
-    )
-    broken = found.filter("_low < _high OR (_labelled > 0 AND _labelled < _rows)")
-    shown = F.array_compact(F.array("_low", F.when(F.col("_high") != F.col("_low"), F.col("_high")), F.when(F.col("_labelled") < F.col("_rows"), F.lit("<null>"))))
-    return broken.select(quoted(code), shown.alias("labels"))
+    own = df.select(F.col(quoted(code)).alias("code"), F.col(quoted(label)).alias("label")).filter("code IS NOT NULL")
+    found = own.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.count(F.lit(1)).alias("rows"))
+    broken = found.filter("low < high OR (labelled > 0 AND labelled < rows)")
+    shown = F.array_compact(F.array("low", F.when(F.col("high") != F.col("low"), F.col("high")), F.when(F.col("labelled") < F.col("rows"), F.lit("<null>"))))
+    return broken.select(F.col("code").alias(code), shown.alias(free_name([code], "labels")))
 
 
 def null_code_rows(df: DataFrame, code: str, label: str) -> DataFrame:
@@ -80,18 +77,17 @@ def null_code_rows(df: DataFrame, code: str, label: str) -> DataFrame:
 
 def check_dependency(df: DataFrame, code: str, label: str, codes: DataFrame | None = None) -> None:
     """ValueError unless each code has one label, and no code no label. ``codes``: one column, the only codes to look at."""
-    own, nulls = df.select(quoted(code), quoted(label)), True
+    own, nulls = df.select(F.col(quoted(code)).alias("code"), F.col(quoted(label)).alias("label")), True
+    own_codes = own
     if codes is not None:
-        only = codes.select(F.col(codes.columns[0]).alias("_code")).distinct()
-        nulls = not only.filter("_code IS NULL").isEmpty()
-        own_codes = own.join(only, F.col(quoted(code)) == F.col("_code"), "left_semi")
-    else:
-        own_codes = own
-    bad = broken_codes(own_codes, code, label).limit(SAMPLE).collect()
+        only = codes.select(F.col(quoted(codes.columns[0])).alias("only")).distinct()
+        nulls = not only.filter("only IS NULL").isEmpty()
+        own_codes = own.join(only, F.col("code") == F.col("only"), "left_semi")
+    bad = broken_codes(own_codes, "code", "label").limit(SAMPLE).collect()
     if bad:
         shown = ", ".join(f"{r[0]!r}: {list(r[1])}" for r in bad)
         raise ValueError(f"{code} doesn't determine {label} ({shown}); use update_value_labels to change the label of a code everywhere")
     if nulls:
-        count = null_code_rows(own, code, label).count()
+        count = null_code_rows(own, "code", "label").count()
         if count:
             raise ValueError(f"{count} rows have a {label} but no {code}; use update_value_labels to change labels")

@@ -228,8 +228,8 @@ class ResultSet:
     def null_only_columns(self) -> list[str] | None:
         """Columns without a value, by one scan; None for an empty table."""
         names = self.columns()
-        row = self.fact().agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
-        return None if not row["_n"] else [c for i, c in enumerate(names) if not row[f"c{i}"]]
+        row = self.fact().agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        return None if not row["rows"] else [c for i, c in enumerate(names) if not row[f"c{i}"]]
 
     def cleanup_null_only_columns(self) -> list[str]:
         """Drop columns without values: never keys, and a parent or code only after what refers to it."""
@@ -311,12 +311,13 @@ class ResultSet:
 
 
 def as_frame(lake: Lake, data: Any) -> DataFrame:
-    """A Spark, pandas or Arrow frame as a Spark frame without composite columns; times without zone."""
+    """A Spark, pandas or Arrow frame as a Spark frame without composite columns. An instant becomes the time of day that it is in UTC, whatever the session's zone."""
     df = data if isinstance(data, DataFrame) else lake.spark.createDataFrame(data)
     refuse_composites(df.schema)
     for f in df.schema:
         if isinstance(f.dataType, T.TimestampType):
-            df = df.withColumn(f.name, F.col(quoted(f.name)).cast("timestamp_ntz"))
+            utc = F.to_utc_timestamp(F.col(quoted(f.name)), F.current_timezone())
+            df = df.withColumn(f.name, utc.cast("timestamp_ntz"))
         elif isinstance(f.dataType, T.NullType):
             df = df.withColumn(f.name, F.col(quoted(f.name)).cast("string"))
     return df

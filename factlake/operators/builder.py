@@ -71,8 +71,8 @@ class ResultSetBuilder:
             out[column] = target
         return out
 
-    def infer_metadata(self, column_labels: Mapping[str, str] | None = None, column_metadata: dict[str, dict[str, Any]] | None = None) -> list[dict[str, Any]]:
-        """One row a column; one job counts the distinct values of all text columns."""
+    def _checked(self, column_metadata: dict[str, dict[str, Any]] | None) -> tuple[dict, dict[str, str], dict[str, str], dict[str, str]]:
+        """(column_metadata, SQL types, parents, labels): what can be told without reading a row."""
         given = check_column_metadata(column_metadata, self.df.columns)
         kinds = {f.name: sql_type(f.dataType) for f in self.df.schema}
         for name in kinds:
@@ -81,18 +81,25 @@ class ResultSetBuilder:
         links.check_forest(parents)
         labels = self._links("label_for", self.value_labels, given)
         links.check_labels(labels, kinds, self.primary_keys, parents)
+        for name in {*parents, *parents.values()}:
+            if self.categorical_overrides.get(name) is False:
+                raise ValueError(f"{name} is part of a hierarchy and so categorical")
+        return given, kinds, parents, labels
+
+    def infer_metadata(self, column_labels: Mapping[str, str] | None = None, column_metadata: dict[str, dict[str, Any]] | None = None, data: DataFrame | None = None) -> list[dict[str, Any]]:
+        """One row a column; one job counts the distinct values of all text columns (of ``data``, if it isn't the builder's frame)."""
+        given, kinds, parents, labels = self._checked(column_metadata)
         texts = [f.name for f in self.df.schema if isinstance(f.dataType, T.StringType)]
         few: dict[str, bool] = {}
         if self.categorical_threshold is not None and texts:
-            row = self.df.agg(*[F.count_distinct(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+            own = self.df if data is None else data
+            row = own.agg(*[F.count_distinct(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(texts)]).first()
             few = {c: row[f"c{i}"] <= self.categorical_threshold for i, c in enumerate(texts)}
         members = {*parents, *parents.values()}
         rows = []
         for name, kind in kinds.items():
             categorical = self.categorical_overrides.get(name, few.get(name, False))
             if name in members and not categorical:
-                if self.categorical_overrides.get(name) is False:
-                    raise ValueError(f"{name} is part of a hierarchy and so categorical")
                 log.warning("%s is made categorical: it is part of a hierarchy", name)
                 categorical = True
             own = given.get(name, {})
@@ -122,14 +129,14 @@ class ResultSetBuilder:
         commit_info: dict | None = None,
         files: int | None = None,
     ) -> OperationReport:
-        """Write the result set in one snapshot; whatever fails leaves the lake as it was. Files are disjoint ranges of cluster_by (the key by default)."""
-        rows = self.infer_metadata(column_labels, column_metadata)
+        """Write the result set in one snapshot; whatever fails leaves the lake as it was. Files are disjoint ranges of cluster_by (the key by default).
+
+        The frame is read once, to be written; what is inferred and validated is what was written, whatever the frame would give a second time.
+        """
+        *_, labels = self._checked(column_metadata)
         df = self.df
         if check_duplicates:
             df = remove_duplicates(df, keep, self.primary_keys or None, order_by)
-        # What removing duplicates made unique needs no second look.
-        if self.primary_keys and not check_duplicates and not repeated_keys(df, self.primary_keys).isEmpty():
-            raise ValueError(f"the primary key {self.primary_keys} isn't unique")
         key = list(cluster_by or self.primary_keys)
         if unknown := [c for c in key if c not in df.columns]:
             raise ValueError(f"cluster_by names unknown columns: {unknown}")
@@ -143,10 +150,14 @@ class ResultSetBuilder:
             t.create(self.schema, META, METADATA)
             t.create(self.schema, DATASET_META, DATASET)
             fact = t.create(self.schema, FACT, df.schema, key, list(partition_by or []), self.primary_keys)
-            for m in rows:
-                if m.get("label_for"):
-                    links.check_dependency(df, m["label_for"], m["name"])
             report.rows_inserted = t.insert(fact, df, files)
+            written = managed.fact()
+            # What removing duplicates made unique needs no second look.
+            if self.primary_keys and not check_duplicates and not repeated_keys(written, self.primary_keys).isEmpty():
+                raise ValueError(f"the primary key {self.primary_keys} isn't unique")
+            for label, code in labels.items():
+                links.check_dependency(written, code, label)
+            rows = self.infer_metadata(column_labels, column_metadata, written)
             physical = {c.name: sql_type(T._parse_datatype_string(c.type)) for c in fact.columns}
             managed.put_metadata(t, [m | {"sql_type": physical[m["name"]]} for m in rows])
             managed.put_dataset(

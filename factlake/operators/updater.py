@@ -3,21 +3,47 @@
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions import links
 from factlake.functions.duplicates import remove_duplicates, repeated_keys
 from factlake.functions.filters import quoted
+from factlake.functions.names import RESERVED, free_name, refuse_reserved
 from factlake.functions.types import check_column_metadata
 from factlake.operators.base import ResultSet, as_frame
 from factlake.plans.report import OperationReport
 from factlake.sources.lake import FILE, POSITION, ROW, Transaction
+from factlake.sources.log import ConcurrentWriteError
 
 log = logging.getLogger("factlake")
 SAMPLE = 10
+#: Times that an upsert is done anew because another writer changed the table meanwhile.
+ATTEMPTS = 3
+NEW, CHANGED = f"{RESERVED}new_", f"{RESERVED}changed"
+
+
+@dataclass
+class Batch:
+    """A persisted batch, with what one job says of it: its rows and the ends of its keys."""
+
+    frame: DataFrame
+    keys: list[str]
+    rows: int
+    ends: list[tuple[Any, Any]]
+
+    def near(self, types: dict[str, str]) -> list[tuple[str, str, Any]]:
+        """Conditions that all fact rows with one of the keys fulfil; none for keys whose types don't order alike."""
+        out = []
+        for k, (low, high) in zip(self.keys, self.ends, strict=True):
+            if low is not None and low == low and high == high and self.frame.schema[k].dataType.simpleString() == types[k]:
+                out += [(k, ">=", low), (k, "<=", high)]
+        return out
 
 
 class Updater(ResultSet):
@@ -37,43 +63,49 @@ class Updater(ResultSet):
     ) -> bool:
         """Upsert a batch by primary key: rows that change get new values in the batch's columns, new keys new rows.
 
+        Only files whose key ranges meet the batch's are read, once. ``check_duplicates_db`` refuses a batch with a key that several fact rows
+        have; keys that the batch doesn't have are the audit's matter. An upsert that meets another writer's is done anew on what that one left.
         A ValueError (a batch that breaks the contract) is raised; any other failure is False. Both leave the lake as it was.
         """
-        batch = as_frame(self.lake, update_df)
+        given = as_frame(self.lake, update_df)
         keys = self.primary_keys()
-        self._check_keys(batch, keys)
-        fresh = [c for c in batch.columns if not self.column_exists(c)]
+        self._check_keys(given, keys)
+        fresh = [c for c in given.columns if not self.column_exists(c)]
         if fresh and not allow_new_columns:
             raise ValueError(f"unknown columns {fresh}; allow_new_columns adds them")
-        given = check_column_metadata(column_metadata, [*self.columns(), *fresh])
+        fields = check_column_metadata(column_metadata, [*self.columns(), *fresh])
         if check_duplicates_update:
-            batch = remove_duplicates(batch, keep, keys, order_by)
-        batch = batch.persist()
+            given = remove_duplicates(given, keep, keys, order_by)
+        given = given.persist()
         try:
-            if not check_duplicates_update and not repeated_keys(batch, keys).isEmpty():
+            batch = self._measured(given, keys)
+            if not check_duplicates_update and not repeated_keys(given, keys).isEmpty():
                 raise ValueError("the batch has repeated keys")
-            if batch.isEmpty():
+            if not batch.rows:
                 self.last_report = OperationReport("update_database", self.schema, run_id).before(self.lake, self.state()).after(self.lake, self.state())
                 self.last_report.success = True
                 self.last_report.warnings.append("the batch has no rows left")
                 return True
-            try:
-                with self.transaction("update_database", run_id, commit_message, commit_info) as (t, report):
-                    self._add_columns(t, batch, fresh, given, report)
-                    self.resolve_types(t, batch, report)
-                    self._upsert(t, batch, keys, report)
-                    self._check_labels(batch, keys, batch.columns)
-                    if check_duplicates_db:
-                        self._check_unique(keys)
-                    self.touch(t)
-                    self.audit_within(report)
-            except ValueError:
-                raise
-            except Exception:
-                log.exception("update_database failed and was rolled back")
-                return False
+            for attempt in range(1, ATTEMPTS + 1):
+                try:
+                    with self.transaction("update_database", run_id, commit_message, commit_info) as (t, report):
+                        self._add_columns(t, given, [c for c in fresh if not self.column_exists(c)], fields, report)
+                        self.resolve_types(t, given, report)
+                        self._upsert(t, batch, report, check_duplicates_db)
+                        self.touch(t)
+                        self.audit_within(report)
+                    break
+                except ValueError:
+                    raise
+                except ConcurrentWriteError:
+                    log.warning("update_database met another writer (attempt %s of %s)", attempt, ATTEMPTS)
+                    if attempt == ATTEMPTS:
+                        return False
+                except Exception:
+                    log.exception("update_database failed and was rolled back")
+                    return False
         finally:
-            batch.unpersist()
+            given.unpersist()
         if compact_after_update:
             self.compact_after(self.last_report)
         return True
@@ -83,9 +115,15 @@ class Updater(ResultSet):
             raise ValueError("the result set has no primary key")
         if missing := [k for k in keys if k not in batch.columns]:
             raise ValueError(f"the batch lacks key columns {missing}")
-        row = batch.agg(*[F.count_if(F.col(quoted(k)).isNull()).alias(f"k{i}") for i, k in enumerate(keys)]).first()
-        if any(row):
+        refuse_reserved(batch.columns)
+
+    def _measured(self, frame: DataFrame, keys: list[str]) -> Batch:
+        """One job over a persisted frame; null keys are refused."""
+        each = [f(F.col(quoted(k))).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("low", F.min), ("high", F.max), ("some", F.count))]
+        row = frame.agg(F.count(F.lit(1)).alias("rows"), *each).first()
+        if any(row[f"some{i}"] < row["rows"] for i in range(len(keys))):
             raise ValueError("the batch has null keys")
+        return Batch(frame, keys, row["rows"], [(row[f"low{i}"], row[f"high{i}"]) for i in range(len(keys))])
 
     def _add_columns(self, t: Transaction, batch: DataFrame, fresh: list[str], given: dict, report: OperationReport) -> None:
         """All columns first, their links after, so that new columns can refer to each other."""
@@ -98,57 +136,60 @@ class Updater(ResultSet):
             if rest:
                 self.update_column_metadata(column, **rest)
 
-    def _upsert(self, t: Transaction, batch: DataFrame, keys: list[str], report: OperationReport) -> None:
-        """One join of the fact table with the batch; matched rows that change get tombstones and post-images, unmatched ones are inserted."""
-        own = self.state()
-        values = [c for c in batch.columns if c not in keys]
-        fact = self.lake.scan(own, internal=True)
-        names = [c.name for c in own.columns]
-        types = {c.name: c.type for c in own.columns}
-        new = batch.select(*[F.col(quoted(c)).cast(types[c]).alias(f"_new_{c}") for c in batch.columns])
-        on = [F.col(quoted(k)) == F.col(quoted(f"_new_{k}")) for k in keys]
-        if values:
-            differs = [~F.col(quoted(v)).eqNullSafe(F.col(quoted(f"_new_{v}"))) for v in values]
-            changed = differs[0]
-            for d in differs[1:]:
-                changed = changed | d
-            met = fact.join(new, on).filter(changed).persist()
-            try:
-                after = met.select(*[(F.col(quoted(f"_new_{c}")) if c in values else F.col(quoted(c))).alias(c) for c in names], ROW)
-                report.rows_updated += met.count()
-                self._replace(t, own, met, after)
-            finally:
-                met.unpersist()
-        inserted = new.join(self.lake.scan(self.lake.table_state(self.schema, "fact_table")).select(*map(quoted, keys)), on, "left_anti")
-        inserted = inserted.select(*[F.col(quoted(f"_new_{c}")).alias(c) for c in batch.columns]).persist()
+    def _upsert(self, t: Transaction, batch: Batch, report: OperationReport, unique: bool) -> None:
+        """One join of the near part of the fact table with the batch; matched rows that change get tombstones and post-images, unmatched ones are inserted."""
+        own, keys = self.state(), batch.keys
+        values = [c for c in batch.frame.columns if c not in keys]
+        names, types = [c.name for c in own.columns], {c.name: c.type for c in own.columns}
+        near = batch.near(types)
+        fact = self.lake.scan(own, internal=True, filters=near or None)
+        new = batch.frame.select(*[F.col(quoted(c)).cast(types[c]).alias(NEW + c) for c in batch.frame.columns])
+        on = [F.col(quoted(k)) == F.col(quoted(NEW + k)) for k in keys]
+        differs = [~F.col(quoted(v)).eqNullSafe(F.col(quoted(NEW + v))) for v in values]
+        met = fact.join(new, on).withColumn(CHANGED, reduce(or_, differs) if differs else F.lit(False)).persist()
         try:
-            count = inserted.count()
+            # One row of the batch meets one row, unless the fact table repeats its key.
+            found = met.agg(F.count(F.lit(1)).alias("rows"), F.count_if(CHANGED).alias("changed"), F.count_distinct(F.struct(*map(quoted, keys))).alias("keys")).first()
+            if unique and found["rows"] > found["keys"]:
+                bad = repeated_keys(met, keys).limit(SAMPLE).collect()
+                raise RuntimeError(f"the fact table has repeated keys, such as {[tuple(r)[:-1] for r in bad]}")
+            changed = met.filter(CHANGED)
+            after = changed.select(*[(F.col(quoted(NEW + c)) if c in values else F.col(quoted(c))).alias(c) for c in names], ROW)
+            if found["changed"]:
+                report.rows_updated += found["changed"]
+                self._replace(t, own, changed, after)
+            inserted = new
+            if found["rows"]:
+                known = met.select(*[F.col(quoted(k)).alias(f"{RESERVED}known_{k}") for k in keys])
+                inserted = new.join(known, [F.col(quoted(NEW + k)) == F.col(quoted(f"{RESERVED}known_{k}")) for k in keys], "left_anti")
+            inserted = inserted.select(*[F.col(quoted(NEW + c)).alias(c) for c in batch.frame.columns])
+            count = batch.rows - found["keys"]
             if count:
                 report.rows_inserted += count
                 t.insert(own, inserted)
+            self._check_labels(batch, after if found["changed"] else None, inserted if count else None)
         finally:
-            inserted.unpersist()
+            met.unpersist()
 
     def _replace(self, t: Transaction, own: Any, met: DataFrame, after: DataFrame) -> None:
         """Post-images keep their row's id, so that the change feed tells updates from deletes and inserts."""
-        gone = met.select(ROW, FILE, POSITION)
-        if gone.isEmpty():
-            return
         written = t.write(own, after, row_ids=True)
-        t.delete_positions(own, gone)
+        t.delete_positions(own, met.select(ROW, FILE, POSITION))
         own.files |= {f.path: f for f in written}
 
-    def _check_unique(self, keys: list[str]) -> None:
-        bad = repeated_keys(self.fact(), keys).limit(SAMPLE).collect()
-        if bad:
-            raise RuntimeError(f"the fact table has repeated keys, such as {[tuple(r)[:-1] for r in bad]}")
-
-    def _check_labels(self, batch: DataFrame, keys: list[str], columns: list[str]) -> None:
-        """Functional dependencies after the write, for the codes of the rows that the batch touched."""
+    def _check_labels(self, batch: Batch, changed: DataFrame | None, inserted: DataFrame | None) -> None:
+        """Functional dependencies after the write, for the codes of the rows that were written; two columns of the fact table are read."""
+        names = set(batch.frame.columns)
         for label, code in self.labels().items():
-            if label in columns or code in columns:
-                touched = self.fact().join(batch.select(*map(quoted, keys)), keys, "left_semi").select(quoted(code))
-                links.check_dependency(self.fact(), code, label, touched)
+            if label not in names and code not in names:
+                continue
+            touched = [x.select(F.col(quoted(code)).alias("code") if code in x.columns else F.lit(None).cast(self.state().column(code).type).alias("code")) for x in (changed, inserted) if x is not None]
+            if touched:
+                codes = reduce(DataFrame.union, touched).distinct().persist()
+                try:
+                    links.check_dependency(self.fact(), code, label, codes)
+                finally:
+                    codes.unpersist()
 
     def add_columns(
         self,
@@ -170,15 +211,15 @@ class Updater(ResultSet):
         if known and not overwrite:
             raise ValueError(f"columns that exist: {known}; overwrite replaces them")
         given = check_column_metadata(column_metadata, [*self.columns(), *values])
-        if not repeated_keys(batch, keys).isEmpty():
-            raise ValueError("the frame has repeated keys")
         batch = batch.persist()
         try:
+            measured = self._measured(batch, keys)
+            if not repeated_keys(batch, keys).isEmpty():
+                raise ValueError("the frame has repeated keys")
             with self.transaction("add_columns", run_id, commit_message, commit_info) as (t, report):
                 self._add_columns(t, batch, [c for c in values if c not in known], given, report)
                 self.resolve_types(t, batch, report)
-                self._upsert(t, batch, keys, report)
-                self._check_labels(batch, keys, batch.columns)
+                self._upsert(t, measured, report, True)
                 self.touch(t)
                 self.audit_within(report)
         finally:
@@ -207,15 +248,19 @@ class Updater(ResultSet):
                     report.warnings.append(f"{total} codes aren't in the fact table, such as {sample}; they are left out")
                 own = self.state()
                 types = {c.name: c.type for c in own.columns}
-                to = new.select(F.col(quoted(code)).cast(types[code]).alias("_code"), F.col(quoted(label_column)).cast("string").alias("_label"))
-                met = self.lake.scan(own, internal=True).join(to, F.col(quoted(code)) == F.col("_code")).filter(~F.col(quoted(label_column)).eqNullSafe(F.col("_label"))).persist()
+                known, text = f"{NEW}code", f"{NEW}label"
+                to = new.select(F.col(quoted(code)).cast(types[code]).alias(known), F.col(quoted(label_column)).cast("string").alias(text))
+                fact = self.lake.scan(own, internal=True, filters=self._measured(new, [code]).near(types) or None)
+                met = fact.join(to, F.col(quoted(code)) == F.col(known)).filter(~F.col(quoted(label_column)).eqNullSafe(F.col(text))).persist()
                 try:
-                    after = met.select(*[(F.col("_label") if c.name == label_column else F.col(quoted(c.name))).alias(c.name) for c in own.columns], ROW)
-                    report.rows_updated += met.count()
-                    self._replace(t, own, met, after)
+                    after = met.select(*[(F.col(text) if c.name == label_column else F.col(quoted(c.name))).alias(c.name) for c in own.columns], ROW)
+                    count = met.count()
+                    if count:
+                        report.rows_updated += count
+                        self._replace(t, own, met, after)
                 finally:
                     met.unpersist()
-                links.check_dependency(self.fact(), code, label_column, to.select("_code"))
+                links.check_dependency(self.fact(), code, label_column, to.select(known))
                 self.touch(t)
                 self.audit_within(report)
         finally:
@@ -226,12 +271,15 @@ class Updater(ResultSet):
 
     def absent(self, codes: DataFrame, code: str) -> DataFrame:
         """Codes that no fact row has."""
-        return codes.join(self.fact().select(F.col(quoted(code)).alias("_known")), F.col(quoted(code)) == F.col("_known"), "left_anti").select(quoted(code))
+        known = f"{RESERVED}known"
+        return codes.join(self.fact().select(F.col(quoted(code)).alias(known)), F.col(quoted(code)) == F.col(known), "left_anti").select(quoted(code))
+
+    def absent_sample(self, codes: DataFrame, code: str, most: int = SAMPLE) -> DataFrame:
+        """(code, n_absent): the first few codes that no fact row has, each with how many there are: one job, by a window over what is absent (codes, not rows)."""
+        name = free_name([code], "n_absent")
+        return self.absent(codes, code).withColumn(name, F.count(F.lit(1)).over(Window.partitionBy())).orderBy(quoted(code)).limit(most)
 
     def absent_codes(self, codes: DataFrame, code: str) -> tuple[int, list]:
         """How many codes no fact row has, and the first few."""
-        found = self.absent(codes, code).persist()
-        try:
-            return found.count(), [r[0] for r in found.orderBy(quoted(code)).limit(SAMPLE).collect()]
-        finally:
-            found.unpersist()
+        found = self.absent_sample(codes, code).collect()
+        return (found[0][1] if found else 0), [r[0] for r in found]

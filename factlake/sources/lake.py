@@ -10,6 +10,7 @@ import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import replace
 from datetime import date, datetime
 from functools import reduce
 from typing import Any
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlake.functions.filters import Filters, disjunction, may_match, quoted, to_column
-from factlake.sources.log import Column, DataFile, DeleteFile, Log, State, Table
+from factlake.functions.names import RESERVED, free_name, refuse_reserved
+from factlake.sources.log import Column, ConcurrentWriteError, DataFile, DeleteFile, Log, State, Table
+from factlake.sources.stores import LogStore
 
 #: Layout of data files; a lake's own options override them.
 OPTIONS: dict[str, Any] = {
@@ -28,10 +31,17 @@ OPTIONS: dict[str, Any] = {
     "row_group_bytes": 32 << 20,
     "row_group_rows": 122_880,
     "data_inlining_row_limit": 0,
+    "parquet_version": "PARQUET_2_0",
 }
 #: Columns of a file, from the first, whose ranges are logged, besides those of the sort key.
 RANGED = 4
-ROW, FILE, POSITION = "_row_id", "_file", "_position"
+ROW, FILE, POSITION = f"{RESERVED}row_id", f"{RESERVED}file", f"{RESERVED}position"
+#: Folders of a partitioned write.
+PART = f"{RESERVED}p"
+#: Characters of a text that a logged range keeps, below which input a sorted write is one file, and the groups that one job rewrites.
+BOUND_CHARS, ONE_FILE_BYTES, JOB_GROUPS = 64, 8 << 20, 64
+#: Times that a commit is put on top of others that touched other tables.
+REBASES = 16
 
 
 def schema_parts(path: str) -> list[str]:
@@ -53,18 +63,18 @@ class Lake:
     A ``version`` or a ``timestamp`` (not both) pins all reads to a snapshot and makes the lake read-only.
     """
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, version: int | None = None, timestamp: Any = None, options: dict[str, Any] | None = None):
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, version: int | None = None, timestamp: Any = None, options: dict[str, Any] | None = None, store: LogStore | None = None):
         if version is not None and timestamp is not None:
             raise ValueError("pass a version or a timestamp, not both")
         self.spark, self.root = spark, normal_root(root)
-        self.log = Log(spark, self.root)
+        self.log = Log(spark, self.root, store)
         self.read_only = read_only or version is not None or timestamp is not None
         self._lock, self._open, self._cached = threading.RLock(), None, None
         if timestamp is not None:
             version = self.log.version_at(timestamp)
         self.pinned = version
         if not self.read_only:
-            self.log.fs().mkdirs(self.log.path("_log"))
+            self.log.prepare()
         if options and not self.read_only:
             with self.transaction(message="options") as t:
                 t.state.options |= options
@@ -133,7 +143,7 @@ class Lake:
         return [f for f in files if may_match(terms, ranges(f))]
 
     def scan(self, own: Table, internal: bool = False, filters: Filters = None, files: Sequence[DataFile] | None = None, inline: bool = True) -> DataFrame:
-        """Rows of a table's state; ``internal`` adds _row_id, _file and _position (null for inlined rows)."""
+        """Rows of a table's state; ``internal`` adds ROW, FILE and POSITION (the last two null for inlined rows)."""
         chosen = list(files) if files is not None else self.files_for(own, filters)
         masked = {d.target for d in own.live_deletes()}
         groups: dict[tuple, list[DataFile]] = {}
@@ -168,21 +178,23 @@ class Lake:
             targets = {f.path for f in group}
             paths = sorted({d.path for d in own.live_deletes() if d.target in targets})
             gone = self.spark.read.schema("file string, position long").parquet(*[f"{self.root}/{p}" for p in paths])
-            out = out.join(gone, (out[FILE] == gone["file"]) & (out[POSITION] == gone["position"]), "left_anti")
+            gone = gone.select(F.col("file").alias(f"{RESERVED}gone"), F.col("position").alias(f"{RESERVED}at"))
+            out = out.join(gone, (F.col(FILE) == F.col(f"{RESERVED}gone")) & (F.col(POSITION) == F.col(f"{RESERVED}at")), "left_anti")
         if not internal:
             return out.select(*[quoted(c.name) for c in own.columns])
         if not explicit:
-            starts = self.spark.createDataFrame([(f.path, f.row_id) for f in group], "_name string, _start long")
+            name, start = f"{RESERVED}name", f"{RESERVED}start"
+            starts = self.spark.createDataFrame([(f.path, f.row_id) for f in group], f"{name} string, {start} long")
             # As many rows as files of this scan.
-            met = out.join(F.broadcast(starts) if len(group) <= 10_000 else starts, out[FILE] == starts["_name"])
-            out = met.withColumn(ROW, F.col("_start") + F.col(POSITION)).drop("_name", "_start")
+            met = out.join(F.broadcast(starts) if len(group) <= 10_000 else starts, F.col(FILE) == F.col(name))
+            out = met.withColumn(ROW, F.col(start) + F.col(POSITION))
         return out.select(*[quoted(c.name) for c in own.columns], ROW, FILE, POSITION)
 
     def _scan_inline(self, own: Table, internal: bool) -> DataFrame:
         schema = T.StructType([T.StructField(c.physical, T._parse_datatype_string(c.type)) for c in own.columns])
-        rows = self.spark.createDataFrame([(x["id"], x["row"]) for x in own.inline], f"{ROW} long, _json string")
-        parsed = rows.select(ROW, F.from_json("_json", schema).alias("_row"))
-        columns = [F.col(f"_row.{quoted(c.physical)}").alias(c.name) for c in own.columns]
+        rows = self.spark.createDataFrame([(x["id"], x["row"]) for x in own.inline], f"{ROW} long, json string")
+        parsed = rows.select(ROW, F.from_json("json", schema).alias("parsed"))
+        columns = [F.col(f"parsed.{quoted(c.physical)}").alias(c.name) for c in own.columns]
         hidden = [F.col(ROW), F.lit(None).cast("string").alias(FILE), F.lit(None).cast("long").alias(POSITION)] if internal else []
         return parsed.select(*columns, *hidden)
 
@@ -198,30 +210,36 @@ class Lake:
     def changes(self, schema: str, table: str, start: int, end: int) -> DataFrame:
         """Rows that differ between the snapshots ``start - 1`` and ``end``: change_type, _row_id and the columns of ``end``.
 
-        Only files that one of both has, or has other tombstones for, are read.
+        Only files that one of both has, or has other tombstones for, are read. The first two names are lengthened where a column has them.
         """
         after = self.table_state(schema, table, end)
         state = self.log.state(start - 1) if start > 1 else State()
         before = state.tables.get(self.key(schema, table), Table())
 
-        def marks(t: Table, path: str) -> list[str]:
-            return sorted(d.path for d in t.deletes if d.target == path)
+        def marks(t: Table) -> dict[str, list[str]]:
+            found: dict[str, list[str]] = {}
+            for d in t.deletes:
+                found.setdefault(d.target, []).append(d.path)
+            return {p: sorted(x) for p, x in found.items()}
 
-        same = {p for p in before.files if p in after.files and marks(before, p) == marks(after, p)}
+        marked, marked_after = marks(before), marks(after)
+        same = {p for p in before.files if p in after.files and marked.get(p) == marked_after.get(p)}
         old = self.scan(Table(columns=after.columns, files=before.files, deletes=before.deletes, inline=before.inline), True, files=[f for p, f in before.files.items() if p not in same])
         new = self.scan(after, True, files=[f for p, f in after.files.items() if p not in same])
         names = [c.name for c in after.columns]
-        old, new = (x.select(ROW, F.struct(*map(quoted, names)).alias("_r")) for x in (old, new))
-        met = old.withColumnRenamed("_r", "_old").join(new.withColumnRenamed("_r", "_new"), ROW, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new")))
-        updated = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+        old, new = (x.select(F.col(ROW).alias("id"), F.struct(*map(quoted, names)).alias(side)) for x, side in ((old, "old"), (new, "new")))
+        met = old.join(new, "id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+        updated = F.col("old").isNotNull() & F.col("new").isNotNull()
         entries = F.filter(
             F.array(
-                F.struct(F.when(updated, "update_preimage").otherwise("delete").alias("change_type"), F.col("_old").alias("r")),
-                F.struct(F.when(updated, "update_postimage").otherwise("insert").alias("change_type"), F.col("_new").alias("r")),
+                F.struct(F.when(updated, "update_preimage").otherwise("delete").alias("kind"), F.col("old").alias("r")),
+                F.struct(F.when(updated, "update_postimage").otherwise("insert").alias("kind"), F.col("new").alias("r")),
             ),
             lambda e: e["r"].isNotNull(),
         )
-        return met.select(ROW, F.explode(entries).alias("e")).select("e.change_type", ROW, *[F.col(f"e.r.{quoted(n)}").alias(n) for n in names])
+        out = met.select("id", F.explode(entries).alias("e"))
+        kind, row = free_name(names, "change_type"), free_name(names, "_row_id")
+        return out.select(F.col("e.kind").alias(kind), F.col("id").alias(row), *[F.col(f"e.r.{quoted(n)}").alias(n) for n in names])
 
     def register_views(self, schema: str, prefix: str = "") -> list[str]:
         """Temp views of a schema's tables, for SQL text; their names."""
@@ -259,11 +277,42 @@ class Lake:
                 self._open = None
                 if own.state != before:
                     facts = {"author": own.author, "message": own.message, "extra_info": own.extra_info}
-                    own.version = self.log.write(before, own.state, facts)
+                    try:
+                        own.version = self.log.write(before, own.state, facts)
+                    except ConcurrentWriteError:
+                        own.state = self._rebased(before, own.state, facts)
+                        own.version = own.state.version
                     self._cached = own.state
             finally:
                 self._open = None
 
+    def _rebased(self, before: State, mine: State, facts: dict[str, Any]) -> State:
+        """The state that is published where others have committed since ``before``, if none of them touched what this one changed."""
+        changed = {k for k in {*before.tables, *mine.tables} if before.tables.get(k) != mine.tables.get(k)}
+        options = {k: v for k, v in mine.options.items() if before.options.get(k) != v}
+        for _ in range(REBASES):
+            last = self.log.state()
+            for v in range(before.version + 1, last.version + 1):
+                other = self.log.commit(v)
+                if met := sorted(changed & {*other["tables"], *other["dropped"]}) or sorted(set(options) & set(other["options"])):
+                    raise ConcurrentWriteError(f"snapshot {v} of another writer changed {met} as well")
+            state = last.copy()
+            state.schemas |= mine.schemas - before.schemas
+            state.options |= options
+            for k in changed:
+                if k not in mine.tables:
+                    state.tables.pop(k, None)
+                    continue
+                known = before.tables.get(k, Table())
+                table = state.tables[k] = mine.tables[k].copy()
+                table.files = {p: f if p in known.files else replace(f, added=last.version + 1) for p, f in table.files.items()}
+            try:
+                self.log.write(last, state, facts)
+                return state
+            except ConcurrentWriteError:
+                continue
+        raise ConcurrentWriteError(f"other writers were faster {REBASES} times")
+
 
 class Transaction:
     """Changes on a copy of the state; files that it writes are unreferenced until it is published."""
@@ -284,6 +333,7 @@ class Transaction:
 
     def add_column(self, own: Table, name: str, kind: str) -> None:
         """A name that an older column had gets another physical one, so old values don't come back."""
+        refuse_reserved([name])
         used = {c.physical for c in own.columns} | {p for f in own.files.values() for p in f.types} | {p for x in own.inline for p in json.loads(x["row"])}
         physical = name if name not in used else f"{name}__{own.next_column}"
         own.columns.append(Column(name, "string" if kind == "void" else "timestamp_ntz" if kind == "timestamp" else kind, physical))
@@ -304,36 +354,74 @@ class Transaction:
         columns = [(F.col(quoted(c.name)) if c.name in have else F.lit(None)).cast(c.type).alias(c.physical) for c in own.columns]
         return df.select(*columns, *([ROW] if row_ids else []))
 
-    def _arranged(self, own: Table, df: DataFrame, files: int | None, spread: bool) -> DataFrame:
-        """Rows in order of the sort key, nulls last; with ``spread``, files of disjoint ranges (a shuffle)."""
+    def _order(self, own: Table) -> list:
         by = [next(c.physical for c in own.columns if c.name == n) for n in own.sort_key]
-        order = [F.col(quoted(c)).asc_nulls_last() for c in by]
+        return [F.col(quoted(c)).asc_nulls_last() for c in by]
+
+    def _parted(self, own: Table, ready: DataFrame) -> tuple[DataFrame, list[str]]:
+        """With a column for each partition expression, the hex of its value: folders are named by it, the columns themselves stay in the file."""
+        names = [f"{PART}{i}" for i in range(len(own.partition_by))]
+        values = [F.coalesce(F.hex(_partition_value(own, x).cast("string").cast("binary")), F.lit("null")).alias(n) for x, n in zip(own.partition_by, names, strict=True)]
+        return (ready.select("*", *values) if names else ready), names
+
+    def _pieces(self, df: DataFrame) -> tuple[int | None, int]:
+        """(files of the target size that the bytes of what the rows are read from ask for, these bytes); None if they aren't known."""
+        leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+        for i in range(leaves.size()):
+            total += int(leaves.apply(i).stats().sizeInBytes())
+        return (None, total) if total >= 1 << 60 else (max(1, -(-total // self.lake.option("target_file_size"))), total)
+
+    def _arranged(self, own: Table, df: DataFrame, parts: list[str], files: int | None, spread: bool) -> DataFrame:
+        """Rows by partition value and sort key, nulls last; with ``spread``, files of disjoint ranges of them (a shuffle), about as large as the option says.
+
+        Ranges split whatever one partition value holds too much of: a hot value is many files, each task's.
+        """
+        order = self._order(own)
+        by = [*parts, *(order or ([F.xxhash64(*[F.col(quoted(c.physical)) for c in own.columns])] if parts else []))]
         if files == 1:
             df = df.coalesce(1)
         elif by and spread:
-            df = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+            wanted, size = (files, 0) if files else self._pieces(df)
+            if not files and wanted == 1 and size < ONE_FILE_BYTES:
+                df = df.coalesce(1)
+            else:
+                df = df.repartitionByRange(wanted, *by) if wanted and (files or wanted > 1) else df.repartitionByRange(*by)
         elif files:
             df = df.repartition(files)
-        return df.sortWithinPartitions(*order) if by else df
+        return df.sortWithinPartitions(*parts, *order) if by else df
 
-    def write(self, own: Table, df: DataFrame, row_ids: bool = False, files: int | None = None, spread: bool = True) -> list[DataFile]:
-        """Rows as new data files of a table (not yet added to it). ``row_ids``: df has _row_id, kept as a column."""
+    def _save(self, own: Table, ready: DataFrame, parts: list[str], row_ids: bool) -> list[DataFile]:
         lake, folder = self.lake, f"data/{uuid.uuid4().hex}"
-        ready = self._arranged(own, self._prepared(own, df, row_ids), files, spread)
-        writer = ready.write.option("compression", lake.option("compression")).option("parquet.block.size", lake.option("row_group_bytes"))
-        if own.partition_by:
-            # A file holds one value of each partition expression. Folders are named by its hex; the columns stay in the file.
-            names = [f"_p{i}" for i in range(len(own.partition_by))]
-            values = [F.coalesce(F.hex(_partition_value(own, x).cast("string").cast("binary")), F.lit("null")).alias(n) for x, n in zip(own.partition_by, names, strict=True)]
-            order = [F.col(quoted(next(c.physical for c in own.columns if c.name == n))).asc_nulls_last() for n in own.sort_key]
-            ready = self._prepared(own, df, row_ids).select("*", *values)
-            ready = ready.repartition(*names).sortWithinPartitions(*names, *order)
-            writer = ready.write.option("compression", lake.option("compression")).partitionBy(*names)
-        writer.parquet(f"{lake.root}/{folder}")
+        writer = ready.write.option("compression", lake.option("compression")).option("parquet.block.size", lake.option("row_group_bytes")).option("parquet.writer.version", lake.option("parquet_version"))
+        (writer.partitionBy(*parts) if parts else writer).parquet(f"{lake.root}/{folder}")
         return self._measured(own, folder, row_ids)
 
+    def write(self, own: Table, df: DataFrame, row_ids: bool = False, files: int | None = None, spread: bool = True) -> list[DataFile]:
+        """Rows as new data files of a table (not yet added to it). ``row_ids``: df has ROW, kept as a column."""
+        ready, parts = self._parted(own, self._prepared(own, df, row_ids))
+        return self._save(own, self._arranged(own, ready, parts, files, spread), parts, row_ids)
+
+    def rewrite(self, own: Table, groups: Sequence[Sequence[DataFile]]) -> list[DataFile]:
+        """The live rows of each group of files as one new file (one a partition value, if it has several): JOB_GROUPS groups a job, a task each."""
+        spark, out = self.lake.spark, []
+        # A union of single partitions would else count as single itself, and put all groups in one task.
+        name = "spark.sql.unionOutputPartitioning"
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, "false")
+        try:
+            for at in range(0, len(groups), JOB_GROUPS):
+                frames = []
+                for group in groups[at : at + JOB_GROUPS]:
+                    rows = self.lake.scan(own, internal=True, files=group, inline=False).drop(FILE, POSITION)
+                    ready, parts = self._parted(own, self._prepared(own, rows, True))
+                    frames.append(self._arranged(own, ready, parts, 1, False))
+                out += self._save(own, reduce(lambda a, b: a.union(b), frames), parts, True)
+        finally:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        return out
+
     def _measured(self, own: Table, folder: str, row_ids: bool) -> list[DataFile]:
-        """The written files with their rows, sizes and ranges: one column-pruned job."""
+        """The written files with their rows, sizes and ranges: one column-pruned job. Long texts are bounded by their first characters."""
         lake = self.lake
         sizes = {p: s for p, (s, _) in lake.log.listing(folder, deep=True).items() if p.rsplit("/", 1)[-1].startswith("part-")}
         if not sizes:
@@ -344,25 +432,27 @@ class Transaction:
         ranged = [p for p in ranged if re.match(r"(tinyint|smallint|int|bigint|float|double|string|date|timestamp_ntz)$", types[p])]
         schema = T.StructType([T.StructField(p, T._parse_datatype_string(t)) for p, t in types.items()])
         df = lake.spark.read.schema(schema).parquet(f"{lake.root}/{folder}")
-        aggregates = [f(quoted(p)).alias(f"{n}{i}") for i, p in enumerate(ranged) for n, f in (("lo", F.min), ("hi", F.max))]
-        name = _below("_metadata.file_path")
-        found = {r["_name"]: r for r in df.groupBy(name.alias("_name")).agg(F.count(F.lit(1)).alias("_rows"), *aggregates).collect()}
+        # One character more than is kept, to see whether there are more.
+        shown = [F.substring(quoted(p), 1, BOUND_CHARS + 1) if types[p] == "string" else F.col(quoted(p)) for p in ranged]
+        aggregates = [f(x).alias(f"{n}{i}") for i, x in enumerate(shown) for n, f in (("lo", F.min), ("hi", F.max))]
+        name = f"{RESERVED}name"
+        found = {r[name]: r for r in df.groupBy(_below("_metadata.file_path").alias(name)).agg(F.count(F.lit(1)).alias("rows"), *aggregates).collect()}
         out = []
         for path in sorted(sizes):
             row = found.get(path)
             if row is None:
                 continue
-            ranges = {p: [_plain(row[f"lo{i}"]), _plain(row[f"hi{i}"])] for i, p in enumerate(ranged)}
-            out.append(DataFile(path, row["_rows"], sizes[path], types, ranges, None if row_ids else own.next_row, self.state.version + 1))
+            ranges = {p: _bounds(row[f"lo{i}"], row[f"hi{i}"]) for i, p in enumerate(ranged)}
+            out.append(DataFile(path, row["rows"], sizes[path], types, ranges, None if row_ids else own.next_row, self.state.version + 1))
             if not row_ids:
-                own.next_row += row["_rows"]
+                own.next_row += row["rows"]
         return out
 
     def insert(self, own: Table, df: DataFrame, files: int | None = None) -> int:
         """Add rows; few enough go to the log."""
         limit = self.lake.option("data_inlining_row_limit")
         if limit:
-            rows = self._prepared(own, df, False).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(limit + 1).collect()
+            rows = self._prepared(own, df, False).limit(limit + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()
             if len(rows) <= limit:
                 own.inline = own.inline + [{"id": own.next_row + i, "row": r["j"]} for i, r in enumerate(rows)]
                 own.next_row += len(rows)
@@ -372,7 +462,7 @@ class Transaction:
         return sum(f.rows for f in written)
 
     def delete_positions(self, own: Table, matched: DataFrame) -> int:
-        """Tombstones for rows (_file, _position, _row_id); a file without rows left is removed whole."""
+        """Tombstones for rows (FILE, POSITION, ROW); a file without rows left is removed whole."""
         lake = self.lake
         inline = {r[0] for r in matched.filter(F.col(FILE).isNull()).select(ROW).limit(len(own.inline)).collect()} if own.inline else set()
         own.inline = [x for x in own.inline if x["id"] not in inline]
@@ -391,8 +481,8 @@ class Transaction:
             parts = {p: s for p, (s, _) in lake.log.listing(folder).items() if p.rsplit("/", 1)[-1].startswith("part-")}
             name = F.element_at(F.split("_metadata.file_path", "/"), -1)
             own.deletes = own.deletes + [
-                DeleteFile(r["file"], f"{folder}/{r['_name']}", r["count"], parts[f"{folder}/{r['_name']}"], self.state.version + 1)
-                for r in lake.spark.read.parquet(f"{lake.root}/{folder}").groupBy("file", name.alias("_name")).count().collect()
+                DeleteFile(r["file"], f"{folder}/{r['name']}", r["count"], parts[f"{folder}/{r['name']}"], self.state.version + 1)
+                for r in lake.spark.read.parquet(f"{lake.root}/{folder}").groupBy("file", name.alias("name")).count().collect()
                 if r["file"] in partly
             ]
         own.files = {p: f for p, f in own.files.items() if p not in full}
@@ -422,6 +512,23 @@ def _below(path: str):
     return F.regexp_extract(path, r"((?:data|deletes)/[0-9a-f]{32}/.*)$", 1)
 
 
+def _bounds(low: Any, high: Any) -> list:
+    """Plain bounds of values; of longer texts their first BOUND_CHARS characters, the upper one rounded up (none if it can't be)."""
+    low, high = _plain(low), _plain(high)
+    if isinstance(low, str):
+        low = low[:BOUND_CHARS]
+    if isinstance(high, str) and len(high) > BOUND_CHARS:
+        kept = high[:BOUND_CHARS].rstrip("\U0010ffff")
+        after = ord(kept[-1]) + 1 if kept else None
+        high = None if after is None else kept[:-1] + chr(0xE000 if 0xD800 <= after <= 0xDFFF else after)
+    return [low, high]
+
+
+def partition_of(file: DataFile) -> tuple[str, ...]:
+    """The folders that name a file's partition values; none if it wasn't written by any."""
+    return tuple(x for x in file.path.split("/") if x.startswith(PART))
+
+
 def _plain(value: Any) -> Any:
     """A bound as plain JSON; NaN bounds nothing."""
     if isinstance(value, float) and math.isnan(value):

@@ -158,12 +158,36 @@ def test_a_failing_write_is_false_and_rolled_back(spark, built, monkeypatch):
 def test_two_writers_of_one_version(spark, built):
     other = Lake(spark, built.root)
     _ = other.state
-    with pytest.raises(ConcurrentWriteError), other.transaction() as t:
-        t.state.options["x"] = 1
+    with pytest.raises(ConcurrentWriteError, match="as well"), other.transaction() as t:
+        t.table("main", "fact_table").sort_key = []
         Deleter(built).delete_rows("id = 1", perform_cleanup=False)
     assert len(rows(built)) == 4
 
 
+def test_writers_of_different_tables_both_commit(spark, built, sample):
+    other = Lake(spark, built.root)
+    with other.transaction() as t:
+        t.state.options["x"] = 1
+        ResultSetBuilder(other, sample, "elsewhere", primary_keys=["id"]).build_schema()
+        Deleter(built).delete_rows("id = 1", perform_cleanup=False)
+    assert built.option("x") == 1 and len(rows(built)) == 4 and len(rows(built, "elsewhere")) == 5
+    assert {f.added for f in built.table_state("elsewhere", "fact_table").files.values()} == {built.state.version}
+
+
+def test_an_upsert_that_meets_another_is_done_anew(spark, built, monkeypatch):
+    updater, met = Updater(built), []
+    plain = Updater._upsert
+
+    def slow(self, *args):
+        if not met:
+            met.append(Deleter(Lake(spark, built.root)).delete_rows("id = 2", perform_cleanup=False))
+        return plain(self, *args)
+
+    monkeypatch.setattr(Updater, "_upsert", slow)
+    assert updater.update_database(batch(spark, CHANGED, NEW))
+    assert rows(built) == sorted([CHANGED, *ROWS[2:], NEW])
+
+
 def test_new_columns_and_widening(spark, built):
     df = spark.createDataFrame([(1, "x", 2**40)], "id long, extra string, status long")
     with pytest.raises(ValueError):
@@ -288,7 +312,8 @@ def test_filters(sample):
     with pytest.raises(TypeError):
         to_column([("id", "=", 1), [("id", "=", 2)]])
     with pytest.raises(ValueError):
-        to_column([("id", "like", 1)])
+        to_column([("id", "~", 1)])
+    assert sample.filter(to_column([("high_cardinality", "like", "%10_"), ("id", "not like", "5")])).count() == 4
     with pytest.raises(ValueError):
         delete_filter(None)
 
