@@ -18,8 +18,8 @@ def remove_duplicates(df: DataFrame, keep: str = "none", keys: list[str] | None
     """``df`` with one row of each key (all columns without ``keys``), or with none of a repeated key's rows.
 
     Rows have no order of their own: first and last go by ``order_by``, else by the position at which Spark reads them, which is
-    only repeatable for a source that is read the same way again. Null keys are equal to each other. All of it is
-    combined before the shuffle, so a key that many rows share reaches one task as a few rows.
+    only repeatable for a source that is read the same way again; none reads ``df`` twice. Null keys are equal to each other. All of it
+    is combined before the shuffle, so a key that many rows share reaches one task as a few rows.
     """
     if keep not in KEEPS:
         raise ValueError(f"keep is one of {KEEPS}")
@@ -27,10 +27,11 @@ def remove_duplicates(df: DataFrame, keep: str = "none", keys: list[str] | None
     if keep == "any":
         return df.dropDuplicates(by)
     if keep == "none":
-        copies = free_name(df.columns, "_copies")
-        rest = [c for c in df.columns if c not in by]
-        grouped = df.groupBy(*map(quoted, by)).agg(F.count(F.lit(1)).alias(copies), *[F.first(quoted(c)).alias(c) for c in rest])
-        return grouped.filter(F.col(copies) == 1).select(*map(quoted, df.columns))
+        # Repeated keys alone are gathered: rows move only if these are too many to broadcast.
+        gone = repeated_keys(df, by)
+        names = [free_name(df.columns, f"_of{i}") for i in range(len(by))]
+        gone = gone.select(*[F.col(quoted(c)).alias(n) for c, n in zip(by, names, strict=True)])
+        return df.join(gone, [F.col(quoted(c)).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)], "left_anti")
     at, rank = free_name(df.columns, "_position"), free_name(df.columns, "_rank")
     own = df if order_by else df.withColumn(at, F.monotonically_increasing_id())
     order = [F.col(quoted(c)) if isinstance(c, str) else c for c in order_by or [at]]

@@ -109,6 +109,10 @@ class ResultSet:
         found = self.dataset().get("cluster_by")
         return json.loads(found) if found else None
 
+    def described(self) -> list[tuple[str, str, str]]:
+        """(table, column, type) of the three tables."""
+        return [(n, c.name, c.type) for n in (DATASET_META, FACT, META) if self.lake.exists(self.schema, n) for c in self.state(n).columns]
+
     def key_combinations(self, columns: list[str] | None = None) -> DataFrame:
         """Distinct values of the primary key, or of some of its columns, lazily."""
         wanted = columns or self.primary_keys()

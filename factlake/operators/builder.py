@@ -131,7 +131,7 @@ class ResultSetBuilder:
     ) -> OperationReport:
         """Write the result set in one snapshot; whatever fails leaves the lake as it was. Files are disjoint ranges of cluster_by (the key by default).
 
-        The frame is read once, to be written; what is inferred and validated is what was written, whatever the frame would give a second time.
+        What is inferred and validated is what was written, whatever the frame would give a second time.
         """
         *_, labels = self._checked(column_metadata)
         df = self.df
@@ -152,8 +152,8 @@ class ResultSetBuilder:
             fact = t.create(self.schema, FACT, df.schema, key, list(partition_by or []), self.primary_keys)
             report.rows_inserted = t.insert(fact, df, files)
             written = managed.fact()
-            # What removing duplicates made unique needs no second look.
-            if self.primary_keys and not check_duplicates and not repeated_keys(written, self.primary_keys).isEmpty():
+            # What was left with one row a key needs no second look; keep="none" reads the frame twice, and a frame may differ.
+            if self.primary_keys and (not check_duplicates or keep == "none") and not repeated_keys(written, self.primary_keys).isEmpty():
                 raise ValueError(f"the primary key {self.primary_keys} isn't unique")
             for label, code in labels.items():
                 links.check_dependency(written, code, label)
@@ -166,6 +166,5 @@ class ResultSetBuilder:
         return report
 
     def display_schema(self) -> None:
-        for name in (FACT, META, DATASET_META):
-            print(f"{self.schema}.{name}")
-            self.lake.table(self.schema, name).printSchema()
+        for name, column, kind in ResultSet(self.lake, self.schema).described():
+            print(f"{self.schema}.{name}.{column}: {kind}")

@@ -75,6 +75,9 @@ class Updater(ResultSet):
             raise ValueError(f"unknown columns {fresh}; allow_new_columns adds them")
         fields = check_column_metadata(column_metadata, [*self.columns(), *fresh])
         if check_duplicates_update:
+            # Before rows that share a null key go as duplicates.
+            if not given.filter(reduce(or_, [F.col(quoted(k)).isNull() for k in keys])).isEmpty():
+                raise ValueError("the batch has null keys")
             given = remove_duplicates(given, keep, keys, order_by)
         given = given.persist()
         try:
@@ -148,25 +151,23 @@ class Updater(ResultSet):
         differs = [~F.col(quoted(v)).eqNullSafe(F.col(quoted(NEW + v))) for v in values]
         met = fact.join(new, on).withColumn(CHANGED, reduce(or_, differs) if differs else F.lit(False)).persist()
         try:
-            # One row of the batch meets one row, unless the fact table repeats its key.
-            found = met.agg(F.count(F.lit(1)).alias("rows"), F.count_if(CHANGED).alias("changed"), F.count_distinct(F.struct(*map(quoted, keys))).alias("keys")).first()
-            if unique and found["rows"] > found["keys"]:
-                bad = repeated_keys(met, keys).limit(SAMPLE).collect()
-                raise RuntimeError(f"the fact table has repeated keys, such as {[tuple(r)[:-1] for r in bad]}")
+            found = met.agg(F.count(F.lit(1)).alias("rows"), F.count_if(CHANGED).alias("changed")).first()
             changed = met.filter(CHANGED)
             after = changed.select(*[(F.col(quoted(NEW + c)) if c in values else F.col(quoted(c))).alias(c) for c in names], ROW)
-            if found["changed"]:
-                report.rows_updated += found["changed"]
-                self._replace(t, own, changed, after)
             inserted = new
             if found["rows"]:
                 known = met.select(*[F.col(quoted(k)).alias(f"{RESERVED}known_{k}") for k in keys])
                 inserted = new.join(known, [F.col(quoted(NEW + k)) == F.col(quoted(f"{RESERVED}known_{k}")) for k in keys], "left_anti")
             inserted = inserted.select(*[F.col(quoted(NEW + c)).alias(c) for c in batch.frame.columns])
-            count = batch.rows - found["keys"]
-            if count:
-                report.rows_inserted += count
-                t.insert(own, inserted)
+            count = t.insert(own, inserted) if found["rows"] != batch.rows or not unique else 0
+            # A row of the batch meets one row or is inserted, unless the fact table repeats its key.
+            if unique and (found["rows"] + count > batch.rows or (not count and not repeated_keys(met, keys).isEmpty())):
+                bad = repeated_keys(met, keys).limit(SAMPLE).collect()
+                raise RuntimeError(f"the fact table has repeated keys, such as {[tuple(r)[:-1] for r in bad]}")
+            report.rows_inserted += count
+            if found["changed"]:
+                report.rows_updated += found["changed"]
+                self._replace(t, own, changed, after)
             self._check_labels(batch, after if found["changed"] else None, inserted if count else None)
         finally:
             met.unpersist()

@@ -8,8 +8,9 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from factlake.sources.lake import Lake
+from factlake.sources.lake import Lake, normal_root
 from factlake.sources.log import LogStoreType
+from factlake.sources.stores import TABLE, Database
 
 
 def s3_default_chain(region: str | None = None, endpoint: str | None = None) -> dict[str, str]:
@@ -47,13 +48,18 @@ def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
     logging.getLogger("factlake").info("applied settings %s", sorted(settings))
 
 
-def connect(spark: SparkSession, root: str, store: LogStoreType = LogStoreType.FILE, settings: dict[str, str] | None = None, schema: str | None = None, **options: Any) -> Lake:
-    """A lake at ``root``; with ``schema``, its levels are created (unless the lake is read-only)."""
-    if store is not LogStoreType.FILE:
-        raise NotImplementedError("a log in a database needs a JDBC driver with transactions; keep the log on the file system")
+def connect(
+    spark: SparkSession, root: str, store: LogStoreType = LogStoreType.FILE, settings: dict[str, str] | None = None, schema: str | None = None, database: dict[str, str] | None = None, table: str = TABLE, **options: Any
+) -> Lake:
+    """A lake at ``root``; with ``schema``, its levels are created (unless the lake is read-only).
+
+    With ``LogStoreType.JDBC`` its log is in a table behind ``database``, the options of postgres_options() or of any other JDBC driver.
+    """
     if settings:
         apply_settings(spark, settings)
-    lake = Lake(spark, root, **options)
+    if (store is LogStoreType.JDBC) != (database is not None):
+        raise ValueError("a log in a database needs its options, and only that does")
+    lake = Lake(spark, root, store=Database(spark, database, normal_root(root), table) if database else None, **options)
     if schema and not lake.read_only:
         lake.create_schema(schema)
     return lake

@@ -11,10 +11,11 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,8 @@ ROW, FILE, POSITION = f"{RESERVED}row_id", f"{RESERVED}file", f"{RESERVED}positi
 PART = f"{RESERVED}p"
 #: Characters of a text that a logged range keeps, below which input a sorted write is one file, and the groups that one job rewrites.
 BOUND_CHARS, ONE_FILE_BYTES, JOB_GROUPS = 64, 8 << 20, 64
+#: Written files whose footers the driver reads itself, and tombstones that are written as one file.
+FOOTERS, ONE_FILE_DELETES = 16, 1_000_000
 #: Times that a commit is put on top of others that touched other tables.
 REBASES = 16
 
@@ -148,8 +151,8 @@ class Lake:
         masked = {d.target for d in own.live_deletes()}
         groups: dict[tuple, list[DataFile]] = {}
         for f in chosen:
-            groups.setdefault((tuple(sorted(f.types.items())), f.path in masked, f.row_id is None), []).append(f)
-        parts = [self._scan_group(own, group, is_masked, internal) for (_, is_masked, _), group in groups.items()]
+            groups.setdefault((tuple(sorted(f.types.items())), f.path in masked, f.row_id is None, f.path.count("/")), []).append(f)
+        parts = [self._scan_group(own, group, is_masked, internal) for (_, is_masked, *_), group in groups.items()]
         if inline and own.inline:
             parts.append(self._scan_inline(own, internal))
         if not parts:
@@ -168,7 +171,9 @@ class Lake:
         columns = [(F.col(quoted(c.physical)) if c.physical in types else F.lit(None)).cast(c.type).alias(c.name) for c in own.columns]
         if not internal and not masked:
             return df.select(*columns)
-        name = _below("_metadata.file_path")
+        # Of a single file all rows have one path and one first row id.
+        alone = group[0] if len(group) == 1 else None
+        name = F.lit(alone.path) if alone else _below(group[0].path.count("/"))
         position = F.col("_metadata.row_index")
         hidden = [name.alias(FILE), position.alias(POSITION)]
         if internal and explicit:
@@ -182,7 +187,9 @@ class Lake:
             out = out.join(gone, (F.col(FILE) == F.col(f"{RESERVED}gone")) & (F.col(POSITION) == F.col(f"{RESERVED}at")), "left_anti")
         if not internal:
             return out.select(*[quoted(c.name) for c in own.columns])
-        if not explicit:
+        if not explicit and alone:
+            out = out.withColumn(ROW, F.lit(alone.row_id).cast("long") + F.col(POSITION))
+        elif not explicit:
             name, start = f"{RESERVED}name", f"{RESERVED}start"
             starts = self.spark.createDataFrame([(f.path, f.row_id) for f in group], f"{name} string, {start} long")
             # As many rows as files of this scan.
@@ -256,6 +263,10 @@ class Lake:
         self.register_views(schema)
         return self.spark.sql(text)
 
+    def arrow(self, text: str, schema: str) -> pa.Table:
+        """The whole result of Spark SQL over the tables of a schema as an Arrow table: for results that fit the driver."""
+        return self.sql(text, schema).toArrow()
+
     # --- writes ----------------------------------------------------------------------------------------------------------
 
     @contextmanager
@@ -421,32 +432,70 @@ class Transaction:
         return out
 
     def _measured(self, own: Table, folder: str, row_ids: bool) -> list[DataFile]:
-        """The written files with their rows, sizes and ranges: one column-pruned job. Long texts are bounded by their first characters."""
+        """The written files with their rows, sizes and ranges: of a few files from their footers, of more by one column-pruned job.
+
+        Long texts are bounded by their first characters.
+        """
         lake = self.lake
         sizes = {p: s for p, (s, _) in lake.log.listing(folder, deep=True).items() if p.rsplit("/", 1)[-1].startswith("part-")}
-        if not sizes:
-            return []
         types = {c.physical: c.type for c in own.columns}
         key = [c.physical for c in own.columns if c.name in {*own.sort_key, *own.keys} or any(c.name in x for x in own.partition_by)]
         ranged = list(dict.fromkeys([*key, *list(types)[:RANGED]]))
         ranged = [p for p in ranged if re.match(r"(tinyint|smallint|int|bigint|float|double|string|date|timestamp_ntz)$", types[p])]
+        found = {p: self._footer(p, {r: types[r] for r in ranged}) for p in sizes} if len(sizes) <= FOOTERS else self._scanned(own, folder, types, ranged)
+        out = []
+        for path in sorted(sizes):
+            rows, ranges = found.get(path, (0, {}))
+            if not rows:
+                continue
+            out.append(DataFile(path, rows, sizes[path], types, ranges, None if row_ids else own.next_row, self.state.version + 1))
+            if not row_ids:
+                own.next_row += rows
+        return out
+
+    def _footer(self, path: str, types: dict[str, str]) -> tuple[int, dict[str, list]]:
+        """(rows, ranges) of one Parquet file, by the statistics of its row groups; a column without them has no range."""
+        files = self.lake.log.files
+        parquet = files.jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(files.path(path), files.conf))
+        try:
+            blocks, rows = reader.getFooter().getBlocks(), 0
+            ends: dict[str, list] = {p: [] for p in types}
+            unknown = set()
+            for block in blocks:
+                rows += block.getRowCount()
+                for column in block.getColumns():
+                    name = ".".join(column.getPath().toArray())
+                    if name not in types:
+                        continue
+                    stats = column.getStatistics()
+                    if stats.hasNonNullValue():
+                        low, high = stats.genericGetMin(), stats.genericGetMax()
+                        ends[name] += [low.toStringUsingUTF8(), high.toStringUsingUTF8()] if types[name] == "string" else [low, high]
+                    elif stats.getNumNulls() < block.getRowCount():
+                        unknown.add(name)
+        finally:
+            reader.close()
+        ranges = {}
+        for name, kind in types.items():
+            low, high = (min(ends[name]), max(ends[name])) if ends[name] and name not in unknown else (None, None)
+            if low is not None and kind == "date":
+                low, high = (date(1970, 1, 1) + timedelta(days=x) for x in (low, high))
+            elif low is not None and kind == "timestamp_ntz":
+                low, high = (datetime(1970, 1, 1) + timedelta(microseconds=x) for x in (low, high))
+            ranges[name] = _bounds(low, high)
+        return rows, ranges
+
+    def _scanned(self, own: Table, folder: str, types: dict[str, str], ranged: list[str]) -> dict[str, tuple[int, dict[str, list]]]:
+        lake = self.lake
         schema = T.StructType([T.StructField(p, T._parse_datatype_string(t)) for p, t in types.items()])
         df = lake.spark.read.schema(schema).parquet(f"{lake.root}/{folder}")
         # One character more than is kept, to see whether there are more.
         shown = [F.substring(quoted(p), 1, BOUND_CHARS + 1) if types[p] == "string" else F.col(quoted(p)) for p in ranged]
         aggregates = [f(x).alias(f"{n}{i}") for i, x in enumerate(shown) for n, f in (("lo", F.min), ("hi", F.max))]
         name = f"{RESERVED}name"
-        found = {r[name]: r for r in df.groupBy(_below("_metadata.file_path").alias(name)).agg(F.count(F.lit(1)).alias("rows"), *aggregates).collect()}
-        out = []
-        for path in sorted(sizes):
-            row = found.get(path)
-            if row is None:
-                continue
-            ranges = {p: _bounds(row[f"lo{i}"], row[f"hi{i}"]) for i, p in enumerate(ranged)}
-            out.append(DataFile(path, row["rows"], sizes[path], types, ranges, None if row_ids else own.next_row, self.state.version + 1))
-            if not row_ids:
-                own.next_row += row["rows"]
-        return out
+        rows = df.groupBy(_below(2 + len(own.partition_by)).alias(name)).agg(F.count(F.lit(1)).alias("rows"), *aggregates).collect()
+        return {r[name]: (r["rows"], {p: _bounds(r[f"lo{i}"], r[f"hi{i}"]) for i, p in enumerate(ranged)}) for r in rows}
 
     def insert(self, own: Table, df: DataFrame, files: int | None = None) -> int:
         """Add rows; few enough go to the log."""
@@ -476,15 +525,18 @@ class Transaction:
         if partly:
             folder = f"deletes/{uuid.uuid4().hex}"
             rows = gone.filter(~F.col(FILE).isin(sorted(full))) if 0 < len(full) <= 1000 else gone
-            rows.select(F.col(FILE).alias("file"), F.col(POSITION).alias("position")).write.parquet(f"{lake.root}/{folder}")
+            rows = rows.select(F.col(FILE).alias("file"), F.col(POSITION).alias("position"))
+            one = sum(partly.values()) <= ONE_FILE_DELETES
+            (rows.coalesce(1) if one else rows).write.parquet(f"{lake.root}/{folder}")
             # A tombstone file may name several targets: each gets an entry with its own share.
             parts = {p: s for p, (s, _) in lake.log.listing(folder).items() if p.rsplit("/", 1)[-1].startswith("part-")}
-            name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-            own.deletes = own.deletes + [
-                DeleteFile(r["file"], f"{folder}/{r['name']}", r["count"], parts[f"{folder}/{r['name']}"], self.state.version + 1)
-                for r in lake.spark.read.parquet(f"{lake.root}/{folder}").groupBy("file", name.alias("name")).count().collect()
-                if r["file"] in partly
-            ]
+            if one and len(parts) == 1:
+                shares = [(p, next(iter(parts)), n) for p, n in partly.items()]
+            else:
+                name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+                found = lake.spark.read.parquet(f"{lake.root}/{folder}").groupBy("file", name.alias("name")).count().collect()
+                shares = [(r["file"], f"{folder}/{r['name']}", r["count"]) for r in found if r["file"] in partly]
+            own.deletes = own.deletes + [DeleteFile(p, at, n, parts[at], self.state.version + 1) for p, at, n in shares]
         own.files = {p: f for p, f in own.files.items() if p not in full}
         own.deletes = own.live_deletes()
         return sum(counts.values()) + len(inline)
@@ -507,9 +559,9 @@ def _partition_value(own: Table, text: str):
     return F.pmod(F.hash(col), F.lit(int(found[3]))) if found[3] else col
 
 
-def _below(path: str):
-    """A data or tombstone file's path below the root, of its URI."""
-    return F.regexp_extract(path, r"((?:data|deletes)/[0-9a-f]{32}/.*)$", 1)
+def _below(slashes: int):
+    """A row's file as a path below the root, with so many slashes."""
+    return F.substring_index("_metadata.file_path", "/", -slashes - 1)
 
 
 def _bounds(low: Any, high: Any) -> list:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlake.functions import links
+from factlake.functions.duplicates import remove_duplicates, repeated_keys
 from factlake.functions.filters import delete_filter, to_column
 from factlake.functions.types import compatible, sql_type, wider
 from factlake.operators.audit import Auditor, Level, Severity
@@ -20,7 +21,7 @@ from factlake.operators.recovery import Recovery
 from factlake.operators.updater import Updater
 from factlake.sources.connect import connect, postgres_options, s3_explicit
 from factlake.sources.lake import Lake, normal_root, schema_parts
-from factlake.sources.log import ConcurrentWriteError
+from factlake.sources.log import ConcurrentWriteError, LogStoreType
 
 SAMPLE = "id long, category string, value double, date date, status string, high_cardinality string"
 ROWS = [(i, "ABACB"[i - 1], i / 10, dt.date(2024, 1, i), "inactive" if i == 2 else "active", f"val_{99 + i}") for i in range(1, 6)]
@@ -463,3 +464,105 @@ def test_checkpoints_of_the_log(spark, built):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         assert built.log.state(3).options["n"] == 1
+
+
+# --- names, files, stores --------------------------------------------------------------------------------------------------
+
+CLASHING = ["id", "_copies", "_rank", "_position", "_row_id", "_file", "change_type", "_new_id", "occurrences", "low", "labels"]
+
+
+@pytest.fixture
+def clashing(spark):
+    return spark.range(6).select("id", *[(F.col("id") * 10).cast("string").alias(c) for c in CLASHING[1:]])
+
+
+def test_columns_may_have_any_name_but_reserved_ones(spark, lake, clashing):
+    for keep in ("none", "first", "last", "any"):
+        kept = remove_duplicates(clashing.union(clashing.filter("id = 1")), keep, ["id"])
+        assert kept.columns == CLASHING and kept.count() == (5 if keep == "none" else 6)
+    assert repeated_keys(clashing.union(clashing), ["occurrences"]).columns == ["occurrences", "occurrences_"]
+    ResultSetBuilder(lake, clashing, primary_keys=["id"], value_labels={"labels": "low"}).build_schema()
+    updater = Updater(lake)
+    assert updater.update_database(clashing.filter("id < 2").withColumn("_rank", F.lit("new")).unionByName(clashing.filter("id = 5").withColumn("id", F.lit(77).cast("long"))))
+    assert (updater.last_report.rows_updated, updater.last_report.rows_inserted) == (2, 1)
+    updater.update_value_labels("labels", spark.createDataFrame([("10", "ten")], "low string, labels string"))
+    Deleter(lake).delete_rows([("_file", "=", "20")])
+    Maintenance(lake).compact(delete_threshold=0.0)
+    found = lake.table("main")
+    assert found.columns == CLASHING and {r.id: (r._rank, r.labels) for r in found.collect()} == {0: ("new", "0"), 1: ("new", "ten"), 3: ("30", "30"), 4: ("40", "40"), 5: ("50", "50"), 77: ("50", "50")}
+    assert lake.changes("main", "fact_table", 2, 2).columns == ["change_type_", "_row_id_", *CLASHING]
+    with pytest.raises(ValueError, match="reserved"):
+        ResultSetBuilder(lake, spark.sql("SELECT 1 AS id, 2 AS __FACTLAKE_row_id"), "other", primary_keys=["id"]).build_schema()
+
+
+def test_long_texts_are_bounded_and_still_found(spark, lake):
+    values = ["a", "b" * 200, "b" * 64, "é" * 100, "z" + "\U0010ffff" * 90]
+    ResultSetBuilder(lake, spark.createDataFrame(list(enumerate(values)), "id long, text string"), primary_keys=["id"]).build_schema()
+    (own,) = lake.table_state("main", "fact_table").files.values()
+    low, high = own.ranges["text"]
+    assert low == "a" and len(high) <= 64 and high > "é" * 100
+    assert [lake.table("main", filters=[("text", "=", v)]).count() for v in values] == [1] * 5
+
+
+@pytest.mark.parametrize("most", [0, 16])
+def test_ranges_of_footers_are_those_of_the_rows(spark, lake, monkeypatch, most):
+    monkeypatch.setattr("factlake.sources.lake.FOOTERS", most)
+    df = spark.sql("SELECT id, date_add(date'1969-12-30', cast(id as int)) AS day, timestamp_ntz'2020-01-01 00:00:00.5' AS at, CAST(NULL AS DOUBLE) AS empty FROM range(100)")
+    ResultSetBuilder(lake, df, primary_keys=["id"], categorical_threshold=None).build_schema(files=3)
+    files = sorted(lake.table_state("main", "fact_table").files.values(), key=lambda f: f.ranges["id"][0])
+    assert sum(f.rows for f in files) == 100 and len(files) == 3
+    assert files[0].ranges["id"][0] == 0 and files[-1].ranges["id"][1] == 99 and files[0].ranges["day"][0] == "1969-12-30"
+    assert all(f.ranges["at"] == ["2020-01-01 00:00:00.500000"] * 2 and f.ranges["empty"] == [None, None] for f in files)
+
+
+def test_partitioned_files_settle_and_hot_values_are_split(spark, lake):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("kind"))
+    ResultSetBuilder(lake, df, primary_keys=["id"]).build_schema(partition_by=["kind"], files=4)
+    own = lake.table_state("main", "fact_table")
+    hot = [f for f in own.files.values() if f.ranges["kind"][0] == "hot"]
+    assert len(hot) > 1 and all(f.ranges["kind"][0] == f.ranges["kind"][1] for f in own.files.values())
+    keeper = Maintenance(lake)
+    assert [keeper.merge_files()[2] > 0 for _ in range(3)] == [True, False, False]
+    assert len(lake.table_state("main", "fact_table").files) == 2 and lake.table("main").count() == 3000
+
+
+def test_cleanup_leaves_open_transactions_alone(spark, built):
+    Deleter(built).delete_rows([("id", "=", 1)], perform_cleanup=False)
+    Maintenance(built).recluster()
+    other = Lake(spark, built.root)
+    with other.transaction() as t:
+        t.insert(t.table("main", "fact_table"), batch(spark, NEW))
+        assert Maintenance(built).expire_snapshots(0) == [1, 2] and Maintenance(built).cleanup_files(dry_run=True)
+        assert len(Maintenance(built).cleanup_files()) >= 2 and Maintenance(built).cleanup_files() == []
+    assert rows(Lake(spark, built.root)) == sorted([*ROWS[1:], NEW])
+
+
+def test_a_log_in_a_database(spark, tmp_path, sample):
+    options = {"url": f"jdbc:derby:memory:{tmp_path.name};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    one = connect(spark, str(tmp_path / "l"), LogStoreType.JDBC, database=options)
+    ResultSetBuilder(one, sample, primary_keys=["id"]).build_schema()
+    for i in range(17):  # beyond a checkpoint
+        with one.transaction() as t:
+            t.state.options["n"] = i
+    other = connect(spark, str(tmp_path / "l"), LogStoreType.JDBC, database=options)
+    assert rows(other) == sorted(ROWS) and other.option("n") == 16 and not (tmp_path / "l" / "_log").exists()
+    assert not other.log.store.put(f"{3:020d}.commit.json", "{}")
+    with pytest.raises(FileNotFoundError):
+        other.log.store.get("nothing")
+    with pytest.raises(ValueError):
+        connect(spark, str(tmp_path / "l"), LogStoreType.JDBC)
+
+
+def test_an_upsert_reads_only_near_files(spark, lake):
+    df = spark.range(8000).select("id", (F.col("id") * 2).alias("v"))
+    ResultSetBuilder(lake, df, primary_keys=["id"]).build_schema(files=8)
+    own = lake.table_state("main", "fact_table")
+    assert len(lake.files_for(own, [("id", ">=", 10), ("id", "<=", 20)])) == 1
+    updater = Updater(lake)
+    assert updater.update_database(spark.range(10, 20).select("id", F.lit(-1).cast("long").alias("v")))
+    assert updater.last_report.rows_updated == 10 and lake.table("main").filter("v = -1").count() == 10
+    # A key that the fact table repeats is refused, if the batch has it.
+    with lake.transaction() as t:
+        t.insert(t.table("main", "fact_table"), spark.range(5, 6).select("id", F.lit(0).cast("long").alias("v")))
+    assert updater.update_database(spark.range(5, 7).select("id", F.lit(1).cast("long").alias("v"))) is False
+    assert updater.update_database(spark.range(6, 7).select("id", F.lit(1).cast("long").alias("v")))
