@@ -30,10 +30,10 @@ class LogStore(Protocol):
 
 
 class Folder:
-    """Files below ``_log`` of a root, on any Hadoop file system whose rename refuses an existing target."""
+    """Files in a folder below a root, on any Hadoop file system whose rename refuses an existing target."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, folder: str = "_log"):
+        self.spark, self.root, self.folder = spark, root.rstrip("/"), folder
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def path(self, below: str):
@@ -43,17 +43,17 @@ class Folder:
         return self.path("").getFileSystem(self.conf)
 
     def prepare(self) -> None:
-        self.fs().mkdirs(self.path("_log"))
+        self.fs().mkdirs(self.path(self.folder))
 
     def put(self, name: str, text: str) -> bool:
-        draft = self.path(f"_log/.draft-{uuid.uuid4().hex}")
+        draft = self.path(f"{self.folder}/.draft-{uuid.uuid4().hex}")
         stream = self.fs().create(draft, False)
         stream.write(bytearray(text.encode()))
         stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs().getUri(), self.conf)
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(draft, self.path(f"_log/{name}"), options)
+            context.rename(draft, self.path(f"{self.folder}/{name}"), options)
         except Exception as error:
             self.fs().delete(draft, False)
             if "FileAlreadyExists" in str(error):
@@ -62,17 +62,17 @@ class Folder:
         return True
 
     def get(self, name: str) -> str:
-        stream = self.fs().open(self.path(f"_log/{name}"))
+        stream = self.fs().open(self.path(f"{self.folder}/{name}"))
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
     def has(self, name: str) -> bool:
-        return self.fs().exists(self.path(f"_log/{name}"))
+        return self.fs().exists(self.path(f"{self.folder}/{name}"))
 
     def names(self) -> list[str]:
-        where = self.path("_log")
+        where = self.path(self.folder)
         if not self.fs().exists(where):
             return []
         found, files = [], self.fs().listFiles(where, False)
@@ -81,7 +81,7 @@ class Folder:
         return [n for n in found if not n.startswith(".")]
 
     def drop(self, name: str) -> None:
-        self.fs().delete(self.path(f"_log/{name}"), False)
+        self.fs().delete(self.path(f"{self.folder}/{name}"), False)
 
 
 class Database:
