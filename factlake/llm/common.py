@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,12 @@ def bounded_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); a default only where it is unset."""
+    """The shared folder of the session (``spark.checkpoint.dir``); only a local session has a default for it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file:///tmp/checkpoints/factlake"
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(root)
@@ -45,6 +48,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/factlake/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what scratch() named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
