@@ -2,15 +2,16 @@
 
 A page is a row, its host a column. A line (trimmed of spaces and tabs) is boilerplate of a host if it is on at least
 ``MIN_PAGES`` of its pages and on more than ``RATIO`` of them; a line counts once a page. Boilerplate lines are dropped wherever
-they are on the host's pages, the others keep their order and bytes. A page of nothing but boilerplate is a copy rather than a
-page that carries some: it stays whole, for near-dedup to judge.
+they are on the host's pages, the others keep their order and bytes; a page of nothing but boilerplate keeps its blank lines only. With
+``spare`` such a page stays whole: in a pipeline it is a copy, which near-dedup is to judge by its text.
 
 Lines are counted by (host, 64-bit hash), pre-aggregated before the shuffle, so a hot host is spread over its lines. A host has fewer
 boilerplate lines than its mean lines a page over RATIO, hence one small array a host; the arrays are broadcast only if
 their measured size is below ``BROADCAST_BYTES``, and are else joined by host, a join that adaptive execution splits for a hot host.
 
 Defined results: a null text stays null and has no lines; a null host is a host of its own; blank lines are never
-boilerplate; repeated rows count as so many pages; an empty table gives an empty table. Other columns pass through.
+boilerplate; repeated rows count as so many pages; an empty table gives an empty table. Other columns pass through, whatever their names; a name
+for the number of dropped lines that a column has raises.
 """
 
 from __future__ import annotations
@@ -48,8 +49,12 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
     return found.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, dropped: str | None = None, spare: bool = False
+) -> DataFrame:
     """``pages`` with boilerplate lines taken out of their text; ``dropped`` names a column for their number."""
+    if dropped is not None and dropped.lower() in {c.lower() for c in pages.columns}:
+        raise ValueError(f"there is a column {dropped}")
     found = cut(boilerplate(pages, host, text, ratio, min_pages))
     size = found.agg(F.coalesce(F.sum(F.size("lines") * 8 + F.coalesce(F.length(F.col("host").cast("string")), F.lit(0)) + 64), F.lit(0))).first()[0]
     of, lines = free_name(pages, "_of"), free_name(pages, "_lines")
@@ -59,10 +64,9 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: flo
     joined = pages.join(found, F.col(f"`{host}`").eqNullSafe(F.col(of)), "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
     kept = F.filter(parts, lambda x: ~(_not_blank(x) & F.array_contains(F.col(lines), _hash(x))))
-    # Left whole: pages without boilerplate, and pages that would have nothing left.
-    some = F.exists(kept, _not_blank)
-    new = F.when(F.col(lines).isNotNull() & some, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
-    gone = F.when(F.col(lines).isNotNull() & some, F.size(parts) - F.size(kept)).otherwise(0)
+    changed = F.col(lines).isNotNull() & F.exists(kept, _not_blank) if spare else F.col(lines).isNotNull()
+    new = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
+    gone = F.when(changed & F.col(f"`{text}`").isNotNull(), F.size(parts) - F.size(kept)).otherwise(0)
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
     return joined.select(*columns, *([gone.cast("long").alias(dropped)] if dropped else []))
 
@@ -84,10 +88,8 @@ WITH pieces AS (
     SELECT p.doc_id, p.source, p.text, p.parts, s.lines,
         list_filter(p.parts, lambda x: NOT list_contains(coalesce(s.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) AS kept
     FROM pieces p LEFT JOIN sets s ON p.source IS NOT DISTINCT FROM s.source
-), judged AS (
-    SELECT *, len(list_filter(kept, lambda x: length(trim(x, chr(32) || chr(9) || chr(13))) > 0)) > 0 AND lines IS NOT NULL AS remains FROM kept
 )
-SELECT doc_id, source, CASE WHEN remains THEN array_to_string(kept, chr(10)) ELSE text END AS text,
-    CAST(CASE WHEN remains THEN len(parts) - len(kept) ELSE 0 END AS BIGINT) AS dropped_lines
-FROM judged
+SELECT doc_id, source, CASE WHEN lines IS NOT NULL AND text IS NOT NULL THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+    CAST(CASE WHEN lines IS NOT NULL AND text IS NOT NULL THEN len(parts) - len(kept) ELSE 0 END AS BIGINT) AS dropped_lines
+FROM kept
 """
