@@ -25,12 +25,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive by groups of the table's files, are compacted, and are read back by the last manifest."""
+    """Documents arrive in batches of small shards, are compacted, and are read back by the last manifest.
+
+    ``arrived`` is the version of the last arrival, ``compacted`` whether a later one has merged shards, ``settled`` whether no tier is full.
+    """
     store = sharding.ShardStore(spark, scratch(spark, "shards"))
-    for arrival in sharding.arrivals(read_table(spark, sf_dir, "documents")):
-        store.append(arrival)
-    store.compact()
-    return store.read()
+    arrived = store.append_dealt(read_table(spark, sf_dir, "documents"))
+    last = store.compact()
+    return store.read().select("*", F.lit(arrived).cast("long").alias("arrived"), F.lit(last > arrived).alias("compacted"), F.lit(store.settled()).alias("settled"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +95,6 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
-    "op3_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "op3_sharding": f"SELECT doc_id, text, lang, source, n_chars, CAST({sharding.ARRIVALS} AS BIGINT) AS arrived, true AS compacted, true AS settled FROM documents",
     "op7_warc": warc.SQL,
 }

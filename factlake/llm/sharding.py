@@ -3,13 +3,14 @@
 Arrivals are written as small immutable Parquet shards. Shards below the target size fall into tiers, by the logarithm of
 their size; when a tier has ``FANOUT`` shards, they are merged in groups of about the target size. A merged shard falls into a
 higher tier, so each row is rewritten a logarithmic number of times. A manifest lists the shards of a version; the next version is
-published by one rename that fails if it exists, so readers see a whole version or the one before, and two writers can't
-publish the same. Merging reads whole shards and writes one file a group, with no shuffle.
+published under a name that is given away once, so readers see a whole version or the one before, and two writers can't publish the same.
+By default that is a rename that refuses an existing target, which HDFS and local disks have; over a plain object store, which hasn't, manifests
+belong in a database (``store``). Merging reads whole shards and writes one file a group, with no shuffle.
 
 A lost executor's task is run again under Spark's committer; a job that dies leaves files that no manifest names, for vacuum().
 
 Defined results: rows come back as they arrived, nulls and repeats included, in no order; an empty arrival adds no rows but
-fixes the schema of a new store; an arrival with other columns than the store's raises.
+fixes the schema of a new store; an arrival with other columns than the store's raises. Columns can have any names: located() lengthens its own.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factlake.llm.common import free_name
+from factlake.sources.stores import Folder, LogStore
+
 TARGET_BYTES = 128 << 20
 SMALLEST_BYTES = 1 << 20
 FANOUT = 4
@@ -31,8 +34,8 @@ FANOUT = 4
 FULL = 0.75
 #: Groups merged in one job: each is a branch of its plan.
 JOB_GROUPS = 64
-#: Batches into which the files of a table are dealt as arrivals.
-ARRIVALS = 8
+#: Arrivals of which a table is made to come, and the rows that a shard of one has at most.
+ARRIVALS, ARRIVAL_ROWS = 8, 4096
 
 
 class CommitConflict(RuntimeError):
@@ -62,35 +65,28 @@ def plan(shards: list[Shard], target: int = TARGET_BYTES, fanout: int = FANOUT)
         if len(own) < fanout:
             continue
         group: list[Shard] = []
+        size = 0
         for shard in sorted(own, key=lambda s: (s.arrival, s.path)):
-            if group and sum(s.bytes for s in group) + shard.bytes > target:
+            if group and size + shard.bytes > target:
                 groups.append(group)
-                group = []
+                group, size = [], 0
             group.append(shard)
+            size += shard.bytes
         groups.append(group)
     return [g for g in groups if len(g) > 1]
 
 
 class ShardStore:
-    """A store below ``root``, on any file system that Spark reaches."""
+    """A store below ``root``, on any file system that Spark reaches; its manifests are files there, or in ``store``."""
 
-    def __init__(self, spark: SparkSession, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, root: str, target: int = TARGET_BYTES, fanout: int = FANOUT, store: LogStore | None = None):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target, fanout
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _path(self, below: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{below}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.conf)
+        self.files = Folder(spark, root, "manifests")
+        self.store: LogStore = store or self.files
+        self.store.prepare()
 
     def versions(self) -> list[int]:
-        where = self._path("manifests")
-        if not self._fs().exists(where):
-            return []
-        names = [x.getPath().getName() for x in self._fs().listStatus(where)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in self.store.names() if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> tuple[int, str | None, list[Shard]]:
         """(version, schema, shards) of a version, the last one by default; version 0 is the empty store."""
@@ -98,31 +94,12 @@ class ShardStore:
         version = known[-1] if version is None and known else version or 0
         if not version:
             return 0, None, []
-        stream = self._fs().open(self._path(f"manifests/v{version:020d}.json"))
-        try:
-            text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        found = json.loads(text)
+        found = json.loads(self.store.get(f"v{version:020d}.json"))
         return version, found["schema"], [Shard(**s) for s in found["shards"]]
 
     def _publish(self, version: int, schema: str, shards: list[Shard]) -> bool:
         """Whether this call made the version: false if another writer had made it."""
-        text = json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]})
-        draft, final = self._path(f"manifests/.draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{version:020d}.json")
-        stream = self._fs().create(draft, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs().getUri(), self.conf)
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(draft, final, options)
-        except Exception as error:
-            if "FileAlreadyExists" not in str(error):
-                raise
-            self._fs().delete(draft, False)
-            return False
-        return True
+        return self.store.put(f"v{version:020d}.json", json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}))
 
     def _commit(self, schema: str, removed: set[str], added: list[Shard]) -> int:
         while True:
@@ -137,7 +114,7 @@ class ShardStore:
                 return version + 1
 
     def _written(self, below: str, arrival: int) -> list[Shard]:
-        found = self._fs().listStatus(self._path(below))
+        found = self.files.fs().listStatus(self.files.path(below))
         return [Shard(f"{below}/{x.getPath().getName()}", x.getLen(), arrival) for x in found if x.getPath().getName().startswith("part-")]
 
     def append(self, arrival: DataFrame) -> int:
@@ -146,6 +123,20 @@ class ShardStore:
         arrival.write.parquet(f"{self.root}/{below}")
         return self._commit(arrival.schema.json(), set(), self._written(below, 0))
 
+    def append_dealt(self, table: DataFrame, arrivals: int = ARRIVALS, rows: int = ARRIVAL_ROWS) -> int:
+        """The version after a table has arrived in ``arrivals`` batches, each a version of its own, of shards of at most ``rows`` rows.
+
+        One job writes all shards, each task one after another; however few files or tasks the table has, it is cut into at least as many
+        shards as there are arrivals (if it has the rows), and they are dealt to the arrivals in turn.
+        """
+        below = f"data/{uuid.uuid4().hex}"
+        most = max(1, min(rows, -(-table.count() // arrivals)))
+        table.write.option("maxRecordsPerFile", most).parquet(f"{self.root}/{below}")
+        shards, schema = sorted(self._written(below, 0), key=lambda s: s.path), table.schema.json()
+        for i in range(arrivals):
+            version = self._commit(schema, set(), shards[i::arrivals])
+        return version
+
     def compact(self) -> int:
         """Merge until no tier is full; the last version."""
         while True:
@@ -187,36 +178,31 @@ class ShardStore:
             return self.spark.createDataFrame([], T.StructType.fromJson(json.loads(schema)))
         return self._scan(schema, shards)
 
+    def located(self, version: int | None = None) -> DataFrame:
+        """The rows of a version with the path of their shard below the root (``shard``)."""
+        own = self.read(version)
+        return own.withColumn(free_name(own, "shard"), F.substring_index("_metadata.file_path", "/", -3))
+
+    def settled(self) -> bool:
+        """Whether no tier of the last version is full."""
+        return not plan(self.manifest()[2], self.target, self.fanout)
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete shards that none of the last ``keep`` versions names, and older manifests; the number of files deleted.
 
         Not to be run while another writer has written shards that it hasn't committed.
         """
-        known = self.versions()
+        known, fs = self.versions(), self.files.fs()
         kept = {s.path for v in known[-keep:] for s in self.manifest(v)[2]}
-        gone = 0
-        for folder in self._fs().listStatus(self._path("data")) if self._fs().exists(self._path("data")) else []:
+        gone, data = 0, self.files.path("data")
+        for folder in fs.listStatus(data) if fs.exists(data) else []:
             name = folder.getPath().getName()
             files = self._written(f"data/{name}", 0)
             for shard in files:
                 if shard.path not in kept:
-                    gone += bool(self._fs().delete(self._path(shard.path), False))
+                    gone += bool(fs.delete(self.files.path(shard.path), False))
             if not any(s.path in kept for s in files):
-                self._fs().delete(folder.getPath(), True)
+                fs.delete(folder.getPath(), True)
         for v in known[:-keep]:
-            self._fs().delete(self._path(f"manifests/v{v:020d}.json"), False)
+            self.store.drop(f"v{v:020d}.json")
         return gone
-
-
-def arrivals(table: DataFrame, most: int = ARRIVALS) -> Iterator[DataFrame]:
-    """A file-based table in up to ``most`` batches of whole files; any other table as one."""
-    try:
-        files = sorted(table.inputFiles())
-    except PySparkException:
-        files = []
-    if not files:
-        yield table
-        return
-    each = -(-len(files) // most)
-    for at in range(0, len(files), each):
-        yield table.sparkSession.read.schema(table.schema).parquet(*files[at : at + each])
