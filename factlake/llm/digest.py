@@ -7,7 +7,8 @@ penalty for the length; likeness is one less that share of the largest possible
 
 Defined results: a null text is an empty text; the digest of an empty text has length code zero and zero codes; a text shorter than
 a triplet's span is read as if repeated; equal texts have equal digests. Documents are ordered by doc_id, descending,
-nulls last; rows that repeat a doc_id by a hash of their text; the last document's next is the first, a lone document's is itself.
+nulls last; rows that repeat a doc_id by a hash of their text (where ranges of rows repeat it, within each of the parts that it is cut into); the
+last document's next is the first, a lone document's is itself. Columns but the two named aren't read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ OFFSETS = (5, 11)
 #: Weight of a step of the length code (a factor of 1.1), and the most steps that count.
 LENGTH_WEIGHT, LENGTH_STEPS = 12, 16
 LARGEST = 3 * BUCKETS + LENGTH_WEIGHT * LENGTH_STEPS
-#: Rows of a range of doc_ids on average, and the most ranges; a range is streamed, so it need not fit in memory.
+#: Rows of a range of doc_ids on average, and the most ranges; a range is streamed, so it need not fit in memory. A doc_id with two ranges of rows is cut into parts.
 RANGE_ROWS, MOST_RANGES = 8192, 10_000
 LOWEST = -(1 << 63)
+#: Parts that a doc_id can have.
+PARTS = 1 << 20
 
 
 def counts(data: bytes) -> np.ndarray:
@@ -87,34 +90,54 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of every document and of its edited text, and their likeness: the rows of the op9 contract.
 
-    Ids are cut into ranges by approximate quantiles; each range also gets the head of the range that follows it. So
-    every task sees its documents in order, with one shuffle of the compressed texts and no global window.
+    Ids are cut into ranges by approximate quantiles, and a doc_id that is hotter than a range has ranges of its own, into which its rows are
+    dealt; each range also gets the head of the range that follows it. So every task sees its documents in order, with one shuffle of the
+    compressed texts, a task a range, and no global window.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = source.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"))
+    own_id = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST))
+    # A row's number only deals the rows of a hot doc_id to its parts.
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own_id.alias("key"), F.monotonically_increasing_id().alias("number"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    keys = source.select("key")
     count = keys.count()
     ranges = max(1, min(MOST_RANGES, -(-count // RANGE_ROWS)))
+    each = max(1, -(-count // ranges))
+    # At most MOST_RANGES / 2 of them.
+    hot = {r["key"]: min(PARTS, -(-r["count"] // each)) for r in keys.groupBy("key").count().filter(F.col("count") > 2 * each).collect()}
     shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
     bounds = np.zeros(0, dtype=np.int64)
     if shares:
         found = keys.agg(F.expr(f"percentile_approx(key, array({shares}), {min(1_000_000, 20 * ranges + 1000)})")).first()[0]
-        bounds = np.unique(np.array(found, dtype=np.int64))
+        # A range ends with its bound: a hot key has one to itself.
+        bounds = np.unique(np.array([*found, *hot, *(k - 1 for k in hot if k > LOWEST)], dtype=np.int64))
+    parts = F.lit(1)
+    for k, n in sorted(hot.items()) if len(hot) <= 100 else ():
+        parts = F.when(F.col("key") == k, n).otherwise(parts)
+    if len(hot) > 100:
+        many = spark.createDataFrame(sorted(hot.items()), "hot long, parts int")
+        source = source.join(F.broadcast(many), F.col("key") == F.col("hot"), "left").withColumn("n", F.coalesce("parts", F.lit(1)))
+    else:
+        source = source.withColumn("n", parts)
+    source = source.select("doc_id", "key", F.pmod(F.xxhash64("number"), F.col("n")).cast("int").alias("part"), "text")
+
+    def place(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """A number of the range, in the order of the documents."""
+        return (len(bounds) - np.searchsorted(bounds, key)).astype(np.int64) * PARTS + part
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(bounds, key).astype(np.int32)
+            at = place(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0)], names=["at", "key"])
 
-    # A row for each range, at most MOST_RANGES: the head of each.
-    heads = {r["at"]: r["head"] for r in keys.mapInArrow(ranged, "at int, key long").groupBy("at").agg(F.max("key").alias("head")).collect()}
+    # A row for each range: the head of each.
+    heads = {r["at"]: r["head"] for r in source.select("key", "part").mapInArrow(ranged, "at long, key long").groupBy("at").agg(F.max("key").alias("head")).collect()}
     order = sorted(heads)
-    #: Which range (or ranges) wants the head with this key after its own documents.
-    wanted: dict[int, list[int]] = {}
+    #: Which range (or ranges) wants the heads with this key and part after its own documents.
+    wanted: dict[tuple[int, int], list[int]] = {}
     for i, at in enumerate(order):
-        wanted.setdefault(heads[order[i - 1]], []).append(at)
+        wanted.setdefault((heads[at], at % PARTS), []).append(order[i - 1])
+    dense = {at: i for i, at in enumerate(order)}
 
     schema = "at int, halo int, key long, tie long, doc_id long, n_chars long, print binary, packed binary"
     names = ["at", "halo", "key", "tie", "doc_id", "n_chars", "print", "packed"]
@@ -124,15 +147,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
-            ids = batch.column(0).to_pylist()
-            key = np.array([LOWEST if x is None else x for x in ids], dtype=np.int64)
-            at = np.searchsorted(bounds, key).tolist()
-            for own, doc, k, value in zip(at, ids, key.tolist(), batch.column(1).to_pylist(), strict=True):
+            key, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            at = place(key, part).tolist()
+            for own, doc, k, p, value in zip(at, batch.column(0).to_pylist(), key.tolist(), part.tolist(), batch.column(3).to_pylist(), strict=True):
                 data = value.encode()
                 tie = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
                 rest = (k, tie, doc, len(value), digest(data), squeeze.compress(data))
-                rows.append((own, 0, *rest))
-                rows += [(other, 1, *rest) for other in wanted.get(k, ())]
+                rows.append((dense[own], 0, *rest))
+                rows += [(dense[other], 1, *rest) for other in wanted.get((k, p), ())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -160,7 +182,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), out_kinds, strict=True)], names=result)
 
     out_kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    dealt = source.mapInArrow(read, schema).repartition("at").sortWithinPartitions("at", "halo", F.desc("key"), "tie", "packed")
+    dealt = source.mapInArrow(read, schema).repartitionById(max(1, len(order)), F.col("at")).sortWithinPartitions("at", "halo", F.desc("key"), "tie", "packed")
     return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
