@@ -1,12 +1,14 @@
 """URL filters: curated host and path rules first, association rules for the rest.
 
 FP-growth mines combinations of URL tokens (host labels, path segments, query keys, scheme) that labelled URLs share with the label
-block. Rules below a support or a confidence are pruned, and so are rules whose subset blocks as surely. An URL
-is blocked if all tokens of a rule are among its own; rules are found by an inverted index from their rarest token, joined with the
-tokens of the distinct URLs.
+block; tokens that all of them have are left out, for they can't tell. Rules below a support or a confidence are pruned, and those that chance explains: so many
+combinations are tried that one of them would be as sure, at the share of blocked URLs in all, with probability ``CHANCE`` or more (by Chernoff's
+bound). So are rules of which any subset blocks as surely. An URL is blocked if all tokens of a rule are among its own; rules are found by an
+inverted index from their rarest token, joined with the tokens of the distinct URLs.
 
 Curated rules are (host, path, verdict). One fits its host and all subdomains, if the URL's path starts with the rule's; of those that fit
-the longest (host and path together, then host) wins.
+the longest (host and path together, then host) wins. A few are compiled into one expression; more are joined by host, with the distinct
+host and path pairs.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no tokens: no rule fits, it is allowed; repeated
 rows get equal verdicts; labels with a null don't count; without labels nothing is mined and the rest is allowed.
@@ -14,6 +16,8 @@ rows get equal verdicts; labels with a null don't count; without labels nothing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,10 @@ BLOCK = "=block"
 #: Rows of about 200 bytes that may be broadcast.
 BROADCAST_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Curated rules are compiled into one expression: so many at most.
-MOST_CURATED = 1000
+#: The probability that any of the rules that are kept is a product of chance.
+CHANCE = 0.05
+#: Curated rules that are compiled into one expression; more are joined.
+COMPILED = 200
 Curated = tuple[str, str, str]
 
 
@@ -58,8 +64,6 @@ def tokens_of(url: Column) -> Column:
 
 def curated_rule(host: Column, path: Column, rules: list[Curated], field: str) -> Column:
     """The text or the verdict of the longest rule that fits, else null."""
-    if len(rules) > MOST_CURATED:
-        raise ValueError(f"more than {MOST_CURATED} curated rules")
     out = F.lit(None).cast("string")
     for own, prefix, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]))):  # the last is asked first
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(prefix)
@@ -67,27 +71,48 @@ def curated_rule(host: Column, path: Column, rules: list[Curated], field: str) -
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def curated_join(pages: DataFrame, host: str, path: str, rules: list[Curated]) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct pairs that a rule fits: each is joined by its host and the hosts above it."""
+    index = pages.sparkSession.createDataFrame([(h, p, v, len(h) + len(p), len(h)) for h, p, v in rules], "above string, prefix string, verdict string, n int, m int")
+    own = pages.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = own.withColumn("above", F.explode(above)).join(index, "above").filter(F.col("path").startswith(F.col("prefix")))
+    best = met.groupBy("host", "path").agg(F.max(F.struct("n", "m", "above", "prefix", "verdict")).alias("b"))
+    return best.select("host", "path", F.concat("b.above", "b.prefix").alias("rule"), F.col("b.verdict").alias("verdict"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, chance: float = CHANCE) -> DataFrame:
     """(tokens, key, confidence, support) of rules mined from (url, block), block a boolean."""
     known = labelled.filter(F.col("url").isNotNull() & F.col("block").isNotNull() & (F.instr("url", "://") > 0))
-    baskets = cut(known.select(F.when(F.col("block"), F.array_append(tokens_of(F.col("url")), BLOCK)).otherwise(tokens_of(F.col("url"))).alias("items")))
-    spark = labelled.sparkSession
-    count = baskets.count()
-    schema = "tokens array<string>, key string, confidence double, support double"
-    if not count:
+    spark, schema = labelled.sparkSession, "tokens array<string>, key string, confidence double, support double"
+    own = known.select(tokens_of(F.col("url")).alias("tokens"), "block")
+    # In one job: how many there are, how many of them are blocked.
+    count, share = own.agg(F.count(F.lit(1)), F.avg(F.col("block").cast("double"))).first()
+    if not count or not share:
         return spark.createDataFrame([], schema)
+    # A token of all rows is in as many baskets as there are; there are at most as many of those as an URL has tokens.
+    every = [r[0] for r in own.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") == count).select("t").collect()]
+    told = F.array_except("tokens", F.array(*map(F.lit, every)).cast("array<string>")) if every else F.col("tokens")
+    baskets = cut(own.select(F.when(F.col("block"), F.array_append(told, BLOCK)).otherwise(told).alias("items")))
     least = min(1.0, max(min_support, min_count / count))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    tried = max(1, model.freqItemsets.count())
     found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
-    found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    # Redundant: a rule with a subset among the rules that is as sure. Subsets of a rule are listed from it, so no pair of rules is tried in vain.
-    exploded = found.select("tokens", "confidence", F.explode(F.transform("tokens", lambda t: F.array_except(F.col("tokens"), F.array(t)))).alias("fewer"))
-    known = found.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"))
-    redundant = exploded.join(known, "fewer").filter(F.col("sure") >= F.col("confidence")).select("tokens").distinct()
-    kept = found.join(redundant, "tokens", "left_anti")
+    # Bits of surprise in n rows of which this share is blocked.
+    c, q = F.col("confidence"), F.lit(float(share))
+    surprise = c * F.log(c / q) + F.when(c < 1, (1 - c) * F.log((1 - c) / (1 - q))).otherwise(0.0)
+    rows = F.col("support") * F.lit(float(count)) / c
+    found = found.filter((c > q) & (rows * surprise >= F.lit(math.log(tried / chance))))
+    found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return cut(kept.join(rarest, "tokens").select("tokens", "key", "confidence", "support"))
+    rarest = found.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
+    found = cut(found.join(rarest, "tokens").select("tokens", "key", "confidence", "support"))
+    # Redundant: a rule with a subset among the rules that is as sure, found by the same index: a subset's key is among the rule's tokens.
+    fewer = found.select(F.col("tokens").alias("fewer"), F.col("key").alias("token"), F.col("confidence").alias("sure"))
+    met = found.select("tokens", "confidence", F.explode("tokens").alias("token")).join(fewer, "token")
+    within = (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))
+    return cut(found.join(met.filter(within).select("tokens").distinct(), "tokens", "left_anti").select("tokens", "key", "confidence", "support"))
 
 
 def blocked(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -107,10 +132,17 @@ def judge(pages: DataFrame, curated: list[Curated], rules: DataFrame, url: str =
     key, sure = free_name(pages, "_url"), free_name(pages, "_sure")
     address = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     own = pages.withColumn("host", host_of(address)).withColumn("path", path_of(address))
-    own = own.withColumn("rule", curated_rule(F.col("host"), F.col("path"), curated, "rule"))
-    verdict = curated_rule(F.col("host"), F.col("path"), curated, "verdict")
+    if len(curated) <= COMPILED:
+        said = free_name(own, "_said")
+        own = own.withColumn("rule", curated_rule(F.col("host"), F.col("path"), curated, "rule")).withColumn(said, curated_rule(F.col("host"), F.col("path"), curated, "verdict"))
+    else:
+        fits = cut(curated_join(own, "host", "path", curated))
+        at, under, said = (free_name(own, x) for x in ("_at", "_under", "_said"))
+        fits = fits.select(F.col("host").alias(at), F.col("path").alias(under), "rule", F.col("verdict").alias(said))
+        own = own.join(fits, (F.col("host") == F.col(at)) & (F.col("path") == F.col(under)), "left").drop(at, under)
     found = cut(blocked(pages.select(F.col(f"`{url}`").alias("url")), rules)).select(F.col("url").alias(key), F.col("confidence").alias(sure))
     small = found.count() <= BROADCAST_ROWS
     met = own.join(F.broadcast(found) if small else found, F.col(f"`{url}`") == F.col(key), "left")
     method = F.when(F.col(sure).isNotNull(), "block").otherwise("allow")
-    return met.withColumn("verdict", F.coalesce(verdict, method)).withColumn("confidence", F.when(F.col("rule").isNull(), F.col(sure))).drop(key, sure)
+    out = met.withColumn("verdict", F.coalesce(F.col(said), method)).withColumn("confidence", F.when(F.col("rule").isNull(), F.col(sure)))
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", "rule", "verdict", "confidence")
