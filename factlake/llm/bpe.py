@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -182,19 +183,25 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
+        # What chunks() and words() know of texts holds for this pattern alone.
+        self.known = pattern == public_tokenizers.PATTERN
         self.pairs = PairTable(self.ranks)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        """Pieces that merge independently: a space before a non-space always starts a pre-token."""
+        """Pieces that merge independently: a space before a non-space always starts a pre-token of the known pattern."""
+        if not self.known:
+            return [m[0] for m in self.pattern.finditer(text)]
         if self._runs.search(text):
             return self.pattern.findall(text)
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]
 
     def words(self, chunk: str) -> list[str]:
+        if not self.known:
+            return [chunk]  # a pre-token already
         bare = chunk[1:] if chunk[:1] == " " else chunk
         if bare.isalpha():
             return [chunk]

@@ -38,12 +38,15 @@ BLOCK_TOKENS = 1 << 20
 #: Entries of one generation of a worker's cache of words; it has two.
 CACHE_ENTRIES = 400_000
 CACHE_PIECE = 48
+# How the files that are read word by word normalise white space and split words. Neither crosses white space.
+SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file, through a cache of their white-space-separated words.
 
-    A text is the sum of its words if the file lower-cases, splits by a pattern that never crosses white space, and maps bytes to
+    A text is the sum of its words if the file lower-cases, replaces white space as SPACES, splits by SPLIT, and maps bytes to
     characters; other files, and texts with characters outside ``_plain`` (combining marks, scripts whose case folding depends on
     the Unicode version), go through the library whole.
     """
@@ -63,12 +66,12 @@ class WordTokenizer:
         """The pattern of the words of a file of the kind described above, else None."""
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        steps = (parts["normalizer"] or {}).get("normalizers", [])
         before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in before] != ["Split", "ByteLevel"]:
+        if steps != [{"type": "NFC"}, SPACES, {"type": "Lowercase"}] or [x["type"] for x in before] != ["Split", "ByteLevel"]:
             return None
         split, level = before
-        if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"] or parts["model"]["dropout"]:
+        if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"] or parts["model"]["dropout"] or split["pattern"] != {"Regex": SPLIT}:
             return None
         return regex.compile(split["pattern"]["Regex"])
 
