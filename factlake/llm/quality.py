@@ -8,7 +8,8 @@ bounded: every whole text is measured and scored.
 
 Defined results: a null text is an empty text; an empty text has statistics zero and a score like any; repeated rows have equal
 scores. Labels of one doc_id that disagree count as their majority (a tie as 1); labels with a null don't count. Without
-labelled documents of both kinds the score is a constant: the share of label 1, or 0.5 without any.
+labelled documents of both kinds the score is a constant: the share of label 1, or 0.5 without any. Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import bounded_batches
+from factlake.llm.common import bounded_batches, free_name
 
 #: Labelled documents that a fit uses at most.
 SAMPLE_ROWS = 20_000
@@ -77,18 +78,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_stats``, a struct of the STATISTICS. Map-only."""
+def measured(docs: DataFrame, text: str = "text", out: str = "_stats") -> DataFrame:
+    """``docs`` with a column ``out``, which they don't have: a struct of the STATISTICS. Map-only."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
     struct = T.StructType([T.StructField(x, T.DoubleType(), False) for x in STATISTICS])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_stats", struct, False)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, struct, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([statistics(x or "") for x in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
             stats = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "_stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -105,7 +106,7 @@ class RuleModel:
 
     def column(self, stats: str = "_stats") -> Column:
         def sql(rule: Rule) -> str:
-            return " AND ".join(f"{stats}.{STATISTICS[i]} {'>' if above else '<='} {bound!r}D" for i, above, bound in rule)
+            return " AND ".join(f"`{stats}`.{STATISTICS[i]} {'>' if above else '<='} {bound!r}D" for i, above, bound in rule)
 
         terms = [f"{self.intercept!r}D", *(f"IF({sql(rule)}, {weight!r}D, 0D)" for rule, weight in self.rules)]
         return F.expr(f"1D / (1D + exp(-({' + '.join(terms)})))")
@@ -221,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def scored(docs: DataFrame, model: RuleModel, out: str = "score") -> DataFrame:
     """``docs`` with their score. An ``out`` that is a column already raises."""
-    if out in docs.columns:
+    if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {out}")
-    return measured(docs).withColumn(out, model.column()).drop("_stats")
+    stats = free_name(docs, "_stats")
+    return measured(docs, out=stats).select(*[F.col(f"`{c}`") for c in docs.columns], model.column(stats).alias(out))

@@ -16,18 +16,19 @@ line separator. So they go through the committer to any file system that Spark r
 written. Reading frames records by their declared lengths, never by the separator.
 
 Defined results: a null payload is an empty payload; a null URL is written as ``about:blank``; repeated rows are
-records of their own; a declared length beyond the data, a bad header line or an unknown version raises, and names the record.
+records of their own (of two with the smallest key both are responses); a declared length beyond the data, a bad header line or an unknown version raises, and names the record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import bounded_batches, cut
@@ -193,13 +194,20 @@ def payloads(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(version, digest, size, key, arc) of the records of ARC files; keys number the records of a file, in order of its path."""
+    """(version, digest, size, key, arc) of the records of ARC files, gzipped or not; a key is the file's number, by path, and the record's in it.
+
+    A file is read as one row, so it has less than 2 GiB; a file has fewer than 2**31 records.
+    """
     bounded_batches(spark)
+    files = spark.read.format("binaryFile").load(path)
+    # Only paths go to one task.
+    numbered = cut(files.select("path").withColumn("number", F.row_number().over(Window.orderBy("path"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True):
-                base = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") << 31
+            for number, data in zip(*(batch.column(c).to_pylist() for c in ("number", "content")), strict=True):
+                base = number << 31
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 for i, arc in enumerate(parse_arc_file(data)):
                     _, payload = arc.response()
                     line = " ".join(arc.fields.values()).encode() + b"\n"
@@ -207,8 +215,8 @@ def arc_files(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, kinds, strict=True)], names=["key", "version", "digest", "size", "arc"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "key long, version int, digest string, size long, arc binary")
+    met = files.select("path", "content").join(numbered, "path").select("number", "content")
+    return met.mapInArrow(run, "key long, version int, digest string, size long, arc binary")
 
 
 def copies(payloads: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
