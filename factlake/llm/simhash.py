@@ -50,8 +50,8 @@ SEED = 42
 #: Fingerprints of near-dedup, their bits and radius, and the tables whose variants are shuffled at a time.
 TABLES, TABLE_BITS, TABLE_RADIUS, TABLES_AT_ONCE = 24, 32, 2, 8
 SIMILARITY = 0.8
-#: Standard deviations of the share of differing bits beyond which a pair is judged by it alone.
-SURE = 3.3
+#: Standard deviations of the share of differing bits beyond which a pair is judged by it alone: it errs once in 10**9 pairs.
+SURE = 6.0
 WORDS_KEPT = 500_000
 #: Distinct shingles up to which a text has too few for its bits: below 32 the tables find fewer than 95 of 100 pairs of similarity 0.8.
 SHORT = 32
@@ -512,12 +512,13 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, do
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id IS NOT NULL")
     named, links = near_links(own, words, similarity)
     found = named.join(components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    gone = cut(found.filter("doc_id <> component").select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
-    ids = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count(F.lit(1)).alias("_n"))
-    if ids.filter("_n > 1").isEmpty():
+    own_id, other = F.col(f"`{doc_id}`"), free_name(docs, "_gone")
+    gone = cut(found.filter("doc_id <> component").select(F.col("doc_id").alias(other)).distinct())
+    left = docs.join(gone, own_id.cast("long") == F.col(other), "left_anti")
+    ids = docs.select(own_id.alias("id")).filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1").isEmpty():
         return left
     rank = free_name(docs, "_rank")
     order = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
-    ranked = left.filter(F.col(doc_id).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(doc_id).orderBy(*order)))
-    return ranked.filter(F.col(rank) == 1).drop(rank).unionByName(left.filter(F.col(doc_id).isNull()))
+    ranked = left.filter(own_id.isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(own_id).orderBy(*order)))
+    return ranked.filter(F.col(rank) == 1).drop(rank).unionByName(left.filter(own_id.isNull()))
