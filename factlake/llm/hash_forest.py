@@ -208,7 +208,8 @@ def dealt(df: DataFrame, levels: list[tuple[int, DataFrame | None]], query: int)
         met = here.join(cut_further, ["tree", "node"])
         if depth == BITS:
             # One string in all: cut by a hash of the id; a query goes to each part.
-            out.append(shown(met, depth, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if query else F.pmod(F.xxhash64("id"), F.col("parts"))))
+            part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if query else F.pmod(F.xxhash64("id"), F.col("parts"))
+            out.append(shown(met.withColumn("part", part), depth, F.col("part")))
         left = met.drop("node", "parts")
     return reduce(DataFrame.unionAll, out)
 
