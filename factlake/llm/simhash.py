@@ -50,9 +50,10 @@ SEED = 42
 #: Fingerprints of near-dedup, their bits and radius, and the tables whose variants are shuffled at a time.
 TABLES, TABLE_BITS, TABLE_RADIUS, TABLES_AT_ONCE = 24, 32, 2, 8
 SIMILARITY = 0.8
-#: Standard deviations of the share of differing bits beyond which a pair is judged by it alone: it errs once in 10**9 pairs.
-SURE = 6.0
-WORDS_KEPT = 500_000
+#: Standard deviations of the share of differing bits beyond which a pair is judged by it alone. What is taken as similar unread errs at most
+#: once in 2,000 pairs just below the similarity, what is discarded unread once in 10**9 pairs at it.
+SURE_SIMILAR, SURE_DIFFERENT = 3.3, 6.0
+WORDS_KEPT = 200_000
 #: Distinct shingles up to which a text has too few for its bits: below 32 the tables find fewer than 95 of 100 pairs of similarity 0.8.
 SHORT = 32
 #: The table of the keys of short texts.
@@ -415,8 +416,8 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 def bounds(similarity: float, bits: int) -> tuple[int, int]:
     """Differing bits up to which a pair is surely as similar, and from beyond which it surely is not."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = SURE * math.sqrt(apart * (1 - apart) / bits)
-    return math.floor((apart - spread) * bits), math.ceil((apart + spread) * bits)
+    spread = math.sqrt(apart * (1 - apart) / bits)
+    return math.floor((apart - SURE_SIMILAR * spread) * bits), math.ceil((apart + SURE_DIFFERENT * spread) * bits)
 
 
 def rare_keys(nodes: DataFrame, similarity: float) -> DataFrame:
