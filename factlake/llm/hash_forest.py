@@ -10,6 +10,8 @@ One forest holds the whole table. Its arrays lie in leaves, prefixes of about ``
 and rows that share a whole string by a hash of their id. A row goes once to its leaf of each tree, as 8-bit components; a query goes to the leaves below its
 prefix only. Approximate products there come with a bound of their error, so that nothing that may be among the best is lost to the rounding;
 what is left, a few rows more than asked for, is scored by exact inner products of the original vectors, in double precision.
+Where the rounding leaves a crowd (near copies), the leaf names the query and those rows once each instead of all their pairs; their original vectors
+meet in a task for each leaf, which gives the exact best of the leaf, so that rows moved grow with the crowd and not with its square.
 
 Inner products of vectors of different lengths become angles by one more component, which brings every row to the largest norm.
 Equal vectors are one row of a tree with their smallest ids (one more than asked for: no more can be in an answer), found by a
@@ -39,6 +41,8 @@ RECALL = 0.9
 SCOUTS, LOOK = 4, 2048
 #: Rows of a leaf on average (twice as many at most), and the bits by which a crowded one is cut.
 LEAF_ROWS, STEP = 8192, 3
+#: A query is open in a leaf where more than so many times the rows asked for may be among its best.
+OPEN = 4
 #: Products of a block of queries and rows that are held at a time.
 HELD = 1 << 22
 #: What single precision may add to an error, relative to the product of the norms.
@@ -46,6 +50,8 @@ ROUNDING = 1e-5
 
 LEAF = ["tree", "depth", "node", "part"]
 DEALT = "tree int, depth int, node long, part long, query int, lo long, hi long, id long, data binary, size double, bound double"
+#: Pairs with the least and the most that their product can be; without id an open query of the leaf (the least is its bound), without query a row that may be among the best of one.
+FOUND = "tree int, depth int, node long, part long, query long, id long, low double, high double"
 
 
 @lru_cache(maxsize=4)
@@ -111,14 +117,22 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, np.nd
             yield int(begin[some[0]]), int(end[some[0]]), some
 
 
+def least(low: np.ndarray, most: int) -> np.ndarray:
+    """The ``most``-th largest of each row; of shorter rows, what all of them reach."""
+    if low.shape[1] < most:
+        return np.full(len(low), -np.inf, dtype=low.dtype)
+    return -np.partition(-low, most - 1, axis=1)[:, most - 1]
+
+
 class Leaf:
-    """The rows of a leaf, by their strings, and what queries find there: arrays of (position of the query, row, least product, most product)."""
+    """The rows of a leaf, by their strings, and what queries find there."""
 
     def __init__(self, table: pa.Table):
         self.strings, self.ids = table.column("lo").to_numpy(), table.column("id").to_numpy()
         step, self.error = table.column("size").to_numpy(), table.column("bound").to_numpy().astype(np.float32)
         codes = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=np.int8).reshape(len(step), -1)
         self.rows = codes.astype(np.float32) * step[:, None].astype(np.float32)
+        self.told = np.zeros(len(step), dtype=bool)
 
     def products(self, vectors: np.ndarray, norms: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(begin of a span, positions of its queries, products, their errors)."""
@@ -128,14 +142,47 @@ class Leaf:
                 own = some[at : at + each]
                 yield a, own, vectors[own] @ self.rows[a:b].T, norms[own, None] * (self.error[a:b] + np.float32(ROUNDING * reach))[None, :]
 
+    def found(self, key: list, queries: pa.Table, begin: np.ndarray, end: np.ndarray, bounds: np.ndarray, most: int, reach: float) -> Iterator[pa.RecordBatch]:
+        """FOUND of the rows from ``begin`` to ``end`` that reach a query's bound; of a crowd, only those that may be among its ``most`` best here."""
+        ids, norms, rounded = queries.column("id").to_numpy(), queries.column("size").to_numpy().astype(np.float32), bounds.astype(np.float32)
+        vectors = np.frombuffer(b"".join(queries.column("data").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
+        for a, own, product, error in self.products(vectors, norms, begin, end, reach):
+            low, high = product - error, product + error
+            may = high >= rounded[own, None]
+            crowd = np.nonzero(may.sum(axis=1) > OPEN * most)[0]
+            may[crowd] &= high[crowd] >= least(low[crowd], most)[:, None]
+            undecided = crowd[may[crowd].sum(axis=1) > OPEN * most]
+            rows = a + np.nonzero(may[undecided].any(axis=0))[0]
+            may[undecided] = False
+            which, column = np.nonzero(may)
+            yield _found(key, ids[own[which]], self.ids[a + column], low[which, column], high[which, column])
+            rows = rows[~self.told[rows]]
+            self.told[rows] = True
+            yield _found(key, ids[own[undecided]], None, bounds[own[undecided]])
+            yield _found(key, None, self.ids[rows])
+
+
+class Crowd:
+    """The rows of a leaf that open queries ask for, with their original vectors."""
 
-def best(own: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, column) of the products that may be among the ``most`` largest of their row."""
-    if low.shape[1] <= most:
-        at = np.indices(low.shape)
-        return at[0].ravel(), at[1].ravel()
-    least = -np.partition(-low, most - 1, axis=1)[:, most - 1]
-    return np.nonzero(high >= least[:, None])
+    def __init__(self, table: pa.Table):
+        self.ids, self.rows = table.column("id").to_numpy(), _matrix(table.column("v").combine_chunks())
+
+    def found(self, key: list, queries: pa.Table, most: int) -> Iterator[pa.RecordBatch]:
+        """FOUND of the ``most`` best rows of each query that reach its bound, ties to smaller ids, by products summed in the order of the final scores."""
+        ids, bounds, vectors = queries.column("id").to_numpy(), queries.column("bound").to_numpy(), _matrix(queries.column("v").combine_chunks())
+        slack = 4 * vectors.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(self.rows, axis=1)
+        each = max(1, HELD // 2 // len(self.ids))
+        for at in range(0, len(ids), each):
+            own = vectors[at : at + each]
+            product, error = own @ self.rows.T, np.linalg.norm(own, axis=1)[:, None] * slack[None, :]
+            which, column = np.nonzero(product + error >= np.maximum(least(product - error, most), bounds[at : at + each])[:, None])
+            score = np.zeros(len(which))
+            for x, y in zip(own.T, self.rows.T, strict=True):
+                score += x[which] * y[column]
+            order = np.lexsort((self.ids[column], -score, which))
+            order = order[np.arange(len(order)) - np.searchsorted(which, which[order]) < most]
+            yield _found(key, ids[at + which[order]], self.ids[column[order]], score[order], score[order])
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -214,8 +261,8 @@ def dealt(df: DataFrame, levels: list[tuple[int, DataFrame | None]], query: int)
     return reduce(DataFrame.unionAll, out)
 
 
-def visit(rows: DataFrame, asked: DataFrame, find: Callable) -> DataFrame:
-    """(query, id, low, high) of what ``find`` (leaf, queries of DEALT, depth) gives in each leaf. Rows of a leaf come before its queries, which stream by."""
+def visit(rows: DataFrame, asked: DataFrame, find: Callable, hold: Callable = Leaf) -> DataFrame:
+    """FOUND of what ``find`` (what ``hold`` makes of a leaf's rows, its queries, LEAF) gives in each leaf. Rows of a leaf come before its queries, which stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -235,17 +282,33 @@ def visit(rows: DataFrame, asked: DataFrame, find: Callable) -> DataFrame:
                     held.append(some)
                     continue
                 if leaf is None and held:
-                    leaf = Leaf(pa.concat_tables(held))
+                    leaf = hold(pa.concat_tables(held))
                 if leaf is not None:
-                    yield from find(leaf, some, own[1])
+                    yield from find(leaf, some, key)
 
     both = rows.unionAll(asked).repartition(*LEAF).sortWithinPartitions(*LEAF, "query", "lo")
-    return both.mapInArrow(run, "query long, id long, low double, high double")
+    return both.mapInArrow(run, FOUND)
+
 
+def _found(key: list, query: np.ndarray | None, ids: np.ndarray | None, low: np.ndarray | None = None, high: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(ids if query is None else query)
+    columns = [pa.array(np.full(n, x), t) for x, t in zip(key, [pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)]
+    for x, t in zip((query, ids, low, high), [pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True):
+        columns.append(pa.nulls(n, t) if x is None else pa.array(x.astype(t.to_pandas_dtype()), t))
+    return pa.RecordBatch.from_arrays(columns, names=[*LEAF, "query", "id", "low", "high"])
 
-def _found(ids: np.ndarray, own: np.ndarray, which: np.ndarray, row_ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids[own[which]], row_ids, low.astype(np.float64), high.astype(np.float64)), kinds, strict=True)], names=["query", "id", "low", "high"])
+
+def decided(found: DataFrame, distinct: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query, id, low, high) of FOUND, with the ``most`` best of each leaf for its open queries."""
+
+    def shown(marks: DataFrame, vectors: DataFrame, query: int) -> DataFrame:
+        return marks.join(vectors.select("id", "v"), "id").select(*LEAF, F.lit(query).alias("query"), F.col("id").alias("lo"), "id", "v", F.col("low").alias("bound"))
+
+    rows = shown(found.filter(F.col("query").isNull()).select(*LEAF, "id", "low"), distinct, 0)
+    asked = shown(found.filter(F.col("id").isNull()).select(*LEAF, F.col("query").alias("id"), "low"), queries, 1)
+    exact = visit(rows, asked, lambda crowd, some, key: crowd.found(key, some, most), Crowd)
+    pairs = found.filter(F.col("query").isNotNull() & F.col("id").isNotNull())
+    return pairs.unionAll(exact).select("query", "id", "low", "high")
 
 
 def search(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -270,24 +333,14 @@ def search(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id",
         in_trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.col("strings")[t].alias("lo"), F.col("strings")[t].alias("hi")) for t in trees]))
         return dealt(rows.select("id", "data", "size", "bound", in_trees.alias("t")).select("t.*", "id", "data", "size", "bound"), levels, 0)
 
-    def descend(leaf: Leaf, table: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
-        ids, norms = table.column("id").to_numpy(), table.column("size").to_numpy().astype(np.float32)
-        vectors_ = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
-        begin, end = longest(leaf.strings, table.column("lo").to_numpy(), depth, look, BITS)
-        for a, some, product, error in leaf.products(vectors_, norms, begin, end, reach):
-            low, high = product - error, product + error
-            which, column = best(some, low, high, most)
-            yield _found(ids, some, which, leaf.ids[a + column], low[which, column], high[which, column])
+    def descend(leaf: Leaf, table: pa.Table, key: list) -> Iterator[pa.RecordBatch]:
+        begin, end = longest(leaf.strings, table.column("lo").to_numpy(), key[1], look, BITS)
+        yield from leaf.found(key, table, begin, end, np.full(len(table), -np.inf), most, reach)
 
-    def ascend(leaf: Leaf, table: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
-        ids, norms, bounds = (table.column(c).to_numpy() for c in ("id", "size", "bound"))
-        vectors_ = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
+    def ascend(leaf: Leaf, table: pa.Table, key: list) -> Iterator[pa.RecordBatch]:
         begin = np.searchsorted(leaf.strings, table.column("lo").to_numpy())
         end = np.searchsorted(leaf.strings, table.column("hi").to_numpy(), side="right")
-        for a, some, product, error in leaf.products(vectors_, norms.astype(np.float32), begin, end, reach):
-            high = product + error
-            which, column = np.nonzero(high >= bounds[some, None].astype(np.float32))
-            yield _found(ids, some, which, leaf.ids[a + column], (product - error)[which, column], high[which, column])
+        yield from leaf.found(key, table, begin, end, table.column("bound").to_numpy(), most, reach)
 
     def merged(found: DataFrame) -> DataFrame:
         """What may be among the best of each query, with the bound that the last of these has reached (null if there are too few)."""
@@ -298,7 +351,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id",
 
     firsts = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.col("strings")[t].alias("lo"), F.col("strings")[t].alias("hi")) for t in range(SCOUTS)]))
     scouts = dealt(hashes.select("id", "data", "size", "bound", firsts.alias("t")).select("t.*", "id", "data", "size", "bound"), levels, 1)
-    first = cut(merged(visit(spread(range(SCOUTS)), scouts, descend)))
+    first = cut(merged(decided(cut(visit(spread(range(SCOUTS)), scouts, descend)), distinct, queries, most)))
     known = first.groupBy("query").agg(F.max("reached").alias("reached"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +367,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id",
 
     bounded = hashes.join(known, hashes["id"] == known["query"], "left").select("id", "strings", "data", "size", "reached")
     climbers = dealt(bounded.mapInArrow(prefixes, "tree int, lo long, hi long, id long, data binary, size double, bound double"), levels, 1)
-    found = visit(spread(range(TREES)), climbers, ascend)
+    found = decided(cut(visit(spread(range(TREES)), climbers, ascend)), distinct, queries, most)
     pairs = cut(merged(first.select("query", "id", "low", "high").unionAll(found)).select("query", "id"))
     met = pairs.join(distinct, "id").join(queries.select(F.col("id").alias("query"), F.col("v").alias("w")), "query")
     # One order of summation for all, so that equal vectors score alike.

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -641,6 +642,48 @@ def test_forest_of_many_leaves(spark, monkeypatch):
     assert found.query_id.nunique() == 75 and hits / len(found) >= 0.9
 
 
+def test_forest_moves_no_pairs_of_near_copies(spark, monkeypatch):
+    """Rows that the leaves give grow with a crowd that 8 bits don't tell apart, not with its square; its best are exact."""
+    made, visit = [], hash_forest.visit
+
+    def counted(*given):
+        found = visit(*given)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(hash_forest, "visit", counted)
+    rng, sums = np.random.default_rng(11), []
+    for crowd in (400, 1600):
+        vectors = rng.standard_normal((2000, 24))
+        vectors[:crowd] = vectors[0] + 1e-5 * rng.standard_normal((crowd, 24))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        made.clear()
+        found = hash_forest.search(frame, every=20).filter(F.col("query_id") < crowd).orderBy("query_id", "rank").collect()
+        sums.append(sum(made))
+        scores = vectors[:crowd:20] @ vectors.T
+        hits = 0
+        for row in found:
+            own = scores[row.query_id // 20]
+            hits += row.score >= np.sort(np.delete(own, row.query_id))[-20] - 1e-12
+            assert abs(row.score - own[row.vec_id]) < 1e-11
+        assert len(found) == crowd and hits >= 0.9 * crowd
+    print("rows of leaves:", sums)
+    assert sums[1] < 6 * sums[0]
+
+
+def test_crowd_gives_the_exact_best_with_ties():
+    """Small whole numbers, so that most scores are equal: as many as asked for, the smaller ids first; blocks of any size."""
+    rng = np.random.default_rng(12)
+    rows, asked = rng.integers(-1, 2, (500, 6)).astype(float), rng.integers(-1, 2, (40, 6)).astype(float)
+    table = lambda ids, v: pa.table({"id": pa.array(ids, pa.int64()), "v": pa.array(v.tolist(), pa.list_(pa.float64())), "bound": pa.array(np.where(ids % 40, -np.inf, 3.0))})
+    ids = np.sort(rng.choice(10_000, 500, replace=False))
+    crowd = hash_forest.Crowd(pa.concat_tables([table(ids[:200], rows[:200]), table(ids[200:], rows[200:])]))
+    found = [tuple(r.values()) for batch in crowd.found([1, 2, 3, 4], table(np.arange(40) * 20, asked).slice(3), 21) for r in batch.to_pylist()]
+    scores = asked @ rows.T
+    best = [(1, 2, 3, 4, q * 20, int(ids[r]), scores[q, r], scores[q, r]) for q in range(3, 40) for r in np.lexsort((ids, -scores[q]))[:21] if q % 2 or scores[q, r] >= 3]
+    assert found == best
+
+
 def test_ascent_follows_the_bound():
     assert hash_forest.ascent(None) == [(15, 0)] and hash_forest.ascent(0.0) == [(15, 0)]
     assert hash_forest.ascent(1.0) == [(t, 32) for t in range(16)]
