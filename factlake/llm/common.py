@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,17 @@ def bounded_batches(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
+_KEPT: list[Callable[[], None]] = []
+
+
+def sole_cache(clear: Callable[[], None] | None) -> None:
+    """Called in a Python worker: drops what another operator keeps there. ``clear`` drops what the calling one will keep, if it keeps anything."""
+    while _KEPT and _KEPT[-1] != clear:
+        _KEPT.pop()()
+    if clear and not _KEPT:
+        _KEPT.append(clear)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``); only a local session has a default for it."""
     sc = spark.sparkContext

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factlake.llm.common import bounded_batches
+from factlake.llm.common import bounded_batches, sole_cache
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
@@ -241,6 +241,7 @@ def pack(
     end = _packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache(tokenizer.cache_clear)
         own = tokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         shelf, windows, sequences, steps = Shelf(), [], 0, 0

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import bounded_batches, free_name
+from factlake.llm.common import bounded_batches, free_name, sole_cache
 
 #: Labelled documents that a fit uses at most.
 SAMPLE_ROWS = 20_000
@@ -86,6 +86,7 @@ def measured(docs: DataFrame, text: str = "text", out: str = "_stats") -> DataFr
     schema = T.StructType([*docs.schema.fields, T.StructField(out, struct, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache(None)
         for batch in batches:
             found = np.array([statistics(x or "") for x in batch.column(at).to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
             stats = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))

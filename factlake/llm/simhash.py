@@ -14,12 +14,12 @@ and small-star rounds, each cut by a checkpoint.
 
 Near-dedup of a corpus (keep_one) goes by the similarity of word-shingle sets. There a document has TABLES fingerprints of 32 bits, and the ball
 has radius 2: two documents of similarity 0.8 meet in one of the tables 95 times in 100, for 33 variants a table. The pairs that meet
-are verified: by all bits together where these are sure, by their whole texts where they are not. First each is compared with the smallest of its
-variant and with its neighbour; documents of equal fingerprint in a table meet as a star around the smallest, ahead of the shuffle of variants, so a
-large group of near copies arrives there as its few different fingerprints. Similarity is not transitive, so then all other pairs that meet
-are compared too, but for those that verified links already join: a fingerprint has at most 528 others within the radius, and of their documents only
-pairs of different components are made. Bits say little of a text of few shingles (counts tie): pairs with one of SHORT or fewer are verified by their texts
-alone, and are found exactly, by the rarest shingles of each: two sets of similarity s share one of the n - ceil(s n) + 1 rarest of each.
+are judged by all their bits: similar, not similar, or open. First each is compared with the smallest of its variant; documents of equal fingerprint in a
+table meet as a star around the smallest, ahead of the shuffle of variants, so a large group of near copies arrives there as its few different
+fingerprints. What is similar or open makes a crowd. Similarity is not transitive, so then all other pairs that meet are judged too, but for those within a
+crowd. At last all texts of a crowd that no sure link joins are compared whole, in blocks within tasks (crowd_links), so that the pairs of a large group of
+near copies, whose number grows with its square, are never rows. Bits say little of a text of few shingles (counts tie): pairs with one of SHORT or fewer are
+verified by their shingles alone, and are found exactly, by the rarest of each: two sets of similarity s share one of the n - ceil(s n) + 1 rarest of each.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero and links like
 any other; repeated rows get the same component; a null doc_id takes part, but its component's id is the smallest
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.llm.common import bounded_batches, cut, free_name, release
+from factlake.llm.common import bounded_batches, cut, free_name, release, sole_cache
 
 BITS = 64
 #: Variants that a prefix has on average, and the most that are sorted at a time: a prefix with more is split.
@@ -54,6 +54,10 @@ SIMILARITY = 0.8
 #: once in 2,000 pairs just below the similarity, what is discarded unread once in 10**9 pairs at it.
 SURE_SIMILAR, SURE_DIFFERENT = 3.3, 6.0
 WORDS_KEPT = 200_000
+#: Edges that are joined on the driver (4 MB); more go through rounds, whose many small jobs cost the driver more than that.
+LOCAL_EDGES = 1 << 18
+#: Texts and shingles of a block of a crowd, about; shingles whose texts are a matrix at a time.
+BLOCK_ROWS, BLOCK_SHINGLES, CODES_AT_ONCE = 64, 1 << 18, 4096
 #: Distinct shingles up to which a text has too few for its bits: below 32 the tables find fewer than 95 of 100 pairs of similarity 0.8.
 SHORT = 32
 #: The table of the keys of short texts.
@@ -119,6 +123,11 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget_words() -> None:
+    """Called at the end of a task: idle workers stay, and their memory counts."""
+    _WORDS.clear()
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """A 64-bit hash of each distinct word shingle, sorted: those of its words, mixed in order. Shingles and no-word texts as in shingle_hashes()."""
     found = text.encode().lower().split()
@@ -156,6 +165,7 @@ def fingerprints(docs: DataFrame, words: int, tables: int = 1, text: str = "text
     at, kept = docs.columns.index(text), [i for i, c in enumerate(docs.columns) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache(None)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             own = [hashes(x or "", words) for x in texts]
@@ -163,6 +173,7 @@ def fingerprints(docs: DataFrame, words: int, tables: int = 1, text: str = "text
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(values))
             some = [] if few is None else [pa.array([x.view(np.int64) if len(x) <= few else None for x in own], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists, *some], names=[*rest, name, *["shingles"] * len(some)])
+        forget_words()
 
     return docs.mapInArrow(run, schema)
 
@@ -191,7 +202,7 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = SORTED_VARIANTS, width: int = BITS, stars: bool = False, ends: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) of the distinct fingerprints of ``width`` bits that share a variant under ``prefix``, a value of ``bits`` bits.
 
-    Those of a variant are linked in a chain; with ``stars`` in a chain by position, and each to the first as well; with ``ends``, the lowest and
+    Those of a variant are linked in a chain; with ``stars`` each to the first; with ``ends``, the lowest and
     the highest component of each fingerprint, in all pairs but those of a single component.
     """
     left: list[np.ndarray] = []
@@ -235,7 +246,7 @@ def link_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: in
                 a, b = (np.concatenate([z[k] for z in every]) for k in (0, 1))
             elif stars:
                 firsts = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(owner)), 0))
-                a, b = np.concatenate([a, owner[firsts[meet + 1]]]), np.concatenate([b, b])
+                a = owner[firsts[meet + 1]]
             pairs = np.divmod(np.unique(np.minimum(a, b) * len(prints) + np.maximum(a, b)), len(prints))
             # What meets is within twice the half radius; the check costs nothing and guards the expansion.
             near = _ones(prints[pairs[0]] ^ prints[pairs[1]]) <= 2 * half
@@ -379,16 +390,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of its component, for every node that isn't itself the smallest.
 
-    Each round is a large-star and a small-star step, until every node has one edge and no node has edges on both sides.
+    Each round is a large-star and a small-star step, until every node has one edge and no node has edges on both sides, or until
+    so few edges are left that the driver joins them.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         count, sources = edges.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        if count <= LOCAL_EDGES:
+            return _few_components(edges)
         if count == sources and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         edges = cut(_star(cut(_star(edges, True)), False))
 
 
+def _few_components(edges: DataFrame) -> DataFrame:
+    """What components() gives, found on the driver."""
+    a, b = (column.to_numpy() for column in edges.select("a", "b").toArrow().columns)
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(len(ids), at[: len(a)], at[len(a) :])
+    far = np.nonzero(root != np.arange(len(ids)))[0]
+    found = pa.table({"node": pa.array(ids[far], pa.int64()), "component": pa.array(ids[root[far]], pa.int64())})
+    return edges.sparkSession.createDataFrame(found)
+
+
 def _hex(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
@@ -407,12 +431,6 @@ def groups(docs: DataFrame, words: int = 5, radius: int = 4, doc_id: str = "doc_
     return prints.join(named, "print").select("doc_id", _hex(F.col("print")).alias("fingerprint"), F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sets of hashes (sorted, distinct); 1 if both are empty."""
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
 def bounds(similarity: float, bits: int) -> tuple[int, int]:
     """Differing bits up to which a pair is surely as similar, and from beyond which it surely is not."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -433,7 +451,7 @@ def rare_keys(nodes: DataFrame, similarity: float) -> DataFrame:
 def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text; no null ids): (doc_id, node) of all rows, and links (a, b), a > b, of nodes of similar texts.
 
-    A node is the smallest doc_id of those whose fingerprints are all equal.
+    A node is the smallest doc_id of those whose fingerprints are all equal. Links are enough to join all similar texts that meet, not all of their pairs.
     """
     spark = docs.sparkSession
     prints = cut(fingerprints(docs, words, TABLES * TABLE_BITS // BITS, out="prints", hashes=shingle_set, few=math.floor(SHORT / similarity)))
@@ -444,8 +462,9 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
     count = nodes.count()
     sure, most = bounds(similarity, TABLES * TABLE_BITS)
     size = F.when(F.col("shingles").isNotNull(), F.size("shingles")).otherwise(1 << 30)
-    sides = [sized.select(F.col("node").alias(x), F.col("prints").alias(f"prints_{x}"), size.alias(f"size_{x}")) for x in ("a", "b")]
+    sides = [sized.select(F.col("node").alias(x), F.col("prints").alias(f"prints_{x}"), F.col("shingles").alias(f"shingles_{x}"), size.alias(f"size_{x}")) for x in ("a", "b")]
     less, more = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     apart = F.aggregate(F.zip_with("prints_a", "prints_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
     def spread(of: DataFrame, first: int) -> DataFrame:
@@ -454,26 +473,15 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
         each = [F.struct(F.lit(t).alias("table"), F.shiftrightunsigned(F.col("prints")[t // 2], TABLE_BITS * (t % 2)).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("print")) for t in tables]
         return of.select(*[c for c in of.columns if c != "prints"], F.inline(F.array(*each)))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sets = {t: shingle_set(t or "", words) for t in {*x, *y}}
-            near = pa.array([jaccard(sets[p], sets[q]) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
-
-    def verified(found: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that their sizes (of a short text) or bits leave open or confirm, without those ``known``, and the links among them."""
-        pairs = found.distinct().join(sides[0], "a").join(sides[1], "b").withColumn("apart", apart).withColumn("short", less <= SHORT)
-        pairs = pairs.filter(F.when(F.col("short"), less >= F.lit(similarity) * more - F.lit(1e-9)).otherwise(F.col("apart") <= most)).select("a", "b", "apart", "short")
-        pairs = cut(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
-        unsure = pairs.filter((F.col("apart") > sure) | F.col("short")).select("a", "b")
-        wanted = unsure.select(F.col("a").alias("doc_id")).union(unsure.select(F.col("b").alias("doc_id"))).distinct()
-        texts = cut(docs.join(wanted, "doc_id", "left_semi"))
-        asked = unsure.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        exact = asked.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-        links = cut(pairs.filter((F.col("apart") <= sure) & ~F.col("short")).select("a", "b").union(exact))
+    def open_or_sure(found: DataFrame) -> DataFrame:
+        """(a, b, sure): the pairs whose shingles (of a short text) or bits confirm them, and those that bits leave open."""
+        pairs = found.distinct().join(sides[0], "a").join(sides[1], "b").withColumn("short", less <= SHORT)
+        # Of a short text and one of a size that allows the similarity, both have their shingles here.
+        near = F.when(less < F.lit(similarity) * more - F.lit(1e-9), False).otherwise(both / (less + more - both) >= similarity)
+        pairs = pairs.withColumn("apart", F.when(~F.col("short"), apart))
+        pairs = cut(pairs.filter(F.when(F.col("short"), near).otherwise(F.col("apart") <= most)).select("a", "b", (F.col("short") | (F.col("apart") <= sure)).alias("sure")))
         release(spark)
-        return pairs, links
+        return pairs
 
     least = keys.groupBy("print").agg(F.min("node").alias("least"))
     found = cut(keys.join(least, "print").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
@@ -485,10 +493,11 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
         found = found.union(met)
         # The shuffles of these tables can go before those of the next are written.
         release(spark)
-    pairs, links = verified(found)
+    pairs = open_or_sure(found)
+    crowds = components(pairs.select("a", "b"))
     # Whatever meets another has been in a pair by now, so all other nodes are out of it.
     some = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    joined = nodes.join(some, "node", "left_semi").join(components(links), "node", "left")
+    joined = nodes.join(some, "node", "left_semi").join(crowds, "node", "left")
     joined = cut(joined.select("node", "prints", F.coalesce("component", "node").alias("component")))
     own = keys.join(joined.select("node", "component"), "node")
     several = own.groupBy("table", "print").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
@@ -500,8 +509,111 @@ def near_links(docs: DataFrame, words: int, similarity: float) -> tuple[DataFram
         met = cut(between(met, own))
         found = found.union(met)
         release(spark)
-    links = links.union(verified(found, pairs)[1])
-    return prints.join(nodes, "prints").select("doc_id", "node"), links
+    others = open_or_sure(found)
+    if not others.isEmpty():
+        crowds = components(crowds.select(F.col("node").alias("a"), F.col("component").alias("b")).union(others.select("a", "b")))
+    links = cut(pairs.union(others).filter("sure").select("a", "b"))
+    return prints.join(nodes, "prints").select("doc_id", "node"), links.union(crowd_links(docs, crowds, components(links), words, similarity))
+
+
+def crowd_links(docs: DataFrame, crowds: DataFrame, known: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, that join what is similar by whole texts within each of ``crowds`` (node, component), beyond the components ``known``.
+
+    All pairs of a crowd but those of one component are compared, and none is a row: the crowd is dealt into blocks, and a task has two blocks at a
+    time. Blocks of the crowd's largest component don't meet one another. A node goes to as many tasks as its crowd has blocks.
+    """
+    spark = docs.sparkSession
+    ends = crowds.select("component").distinct()
+    members = crowds.select("node", F.col("component").alias("crowd")).union(ends.select("component", "component"))
+    members = cut(members.join(known, "node", "left").select("node", "crowd", F.coalesce("component", "node").alias("component")))
+    parts = members.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = cut(parts.groupBy("crowd").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1"))
+    members = members.join(mains, "crowd").select("node", "crowd", "component", (F.col("component") != F.col("main")).alias("rest"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(x or "", words).tobytes() for x in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(own, pa.binary())], names=["node", "crowd", "component", "rest", "own"])
+        forget_words()
+
+    # Rows may repeat a doc_id; nodes are of its smallest text then, as good as any other.
+    texts = docs.join(members, F.col("doc_id") == F.col("node")).select("node", "crowd", "component", "rest", "text")
+    texts = cut(texts.mapInArrow(sets, "node long, crowd long, component long, rest boolean, own binary"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("own") / 8) / BLOCK_SHINGLES))
+    sizes = texts.groupBy("crowd", "rest").agg(size.cast("int").alias("blocks"))
+    sizes = cut(sizes.groupBy("crowd").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("rests"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("mains")))
+    # Blocks of the rest are numbered before those of the largest component.
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int") + F.when(F.col("rest"), 0).otherwise(F.col("rests"))
+    last = F.col("rests") - 1 + F.when(F.col("rest"), F.col("mains")).otherwise(0)
+    dealt = texts.join(sizes, "crowd").select("node", "component", "own", "crowd", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by crowd and pair of blocks; a pair may span batches."""
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        at = None
+
+        def close() -> pa.RecordBatch:
+            low = [x for x in held if x[0] == at[1]]
+            high = low if at[1] == at[2] else [x for x in held if x[0] == at[2]]
+            near = similar([x[3] for x in low], [x[3] for x in high], similarity)
+            ends = forest([(low[i][1:3], high[j][1:3]) for i, j in np.argwhere(near).tolist()])
+            return pa.RecordBatch.from_arrays([pa.array([max(e) for e in ends], pa.int64()), pa.array([min(e) for e in ends], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            own = zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
+            for crowd, low, high, block, node, component, data in own:
+                if at != (crowd, low, high):
+                    if held:
+                        yield close()
+                    held, at = [], (crowd, low, high)
+                held.append((block, node, component, np.frombuffer(data, dtype=np.uint64)))
+        if held:
+            yield close()
+
+    bounded_batches(spark)
+    by = ["crowd", "low", "high"]
+    links = cut(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct())
+    release(spark)
+    return links
+
+
+def similar(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets ``x`` (rows) are as similar to which of ``y``: by shared ones over all of either, 1 if both are empty."""
+    lengths = [np.array([len(s) for s in sets], dtype=np.int64) for sets in (x, y)]
+    every, codes = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *x, *y]), return_inverse=True)
+    codes = np.split(codes, [lengths[0].sum()])
+    owners = [np.repeat(np.arange(len(n)), n) for n in lengths]
+    order = [np.argsort(c, kind="stable") for c in codes]
+    codes, owners = [c[o] for c, o in zip(codes, order, strict=True)], [c[o] for c, o in zip(owners, order, strict=True)]
+    both = np.zeros((len(x), len(y)))
+    for first in range(0, len(every), CODES_AT_ONCE):
+        has = []
+        for code, owner, n in zip(codes, owners, lengths, strict=True):
+            a, b = np.searchsorted(code, [first, first + CODES_AT_ONCE])
+            one = np.zeros((len(n), CODES_AT_ONCE), dtype=np.float32)
+            one[owner[a:b], code[a:b] - first] = 1
+            has.append(one)
+        both += has[0] @ has[1].T
+    either = lengths[0][:, None] + lengths[1][None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity
+
+
+def forest(pairs: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Of pairs of (node, component) the nodes of so many that all components that pairs join are joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above := root.setdefault(x, x)) != x:
+            root[x] = x = root[above]
+        return x
+
+    out = []
+    for (a, x), (b, y) in pairs:
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            out.append((a, b))
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

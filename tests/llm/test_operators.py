@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factlake.llm import bpe, digest, hash_forest, line_dedup, packing, quality, sharding, simhash, url_rules, warc
+from factlake.llm import bpe, common, digest, hash_forest, line_dedup, packing, quality, sharding, simhash, url_rules, warc
 from factlake.sources.stores import Database
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -236,6 +236,53 @@ def test_near_dedup_compares_all_that_meet(spark):
     assert together >= 0.9 * len(texts)
 
 
+def test_near_dedup_moves_no_pairs_of_a_crowd(spark, monkeypatch):
+    """800 copies of one text, some similar to one another and most not quite: joined as by brute force, without a row for each pair."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(800):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            copy[at] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(both := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(both)) >= 0.8]
+    assert [(int(i), int(j)) for i, j in np.argwhere(simhash.similar(sets, sets, 0.8)) if j < i] == near
+    true = simhash._roots(len(texts), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    rows, cut = [], simhash.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    for most in (simhash.LOCAL_EDGES, 0):  # joined on the driver, and in rounds
+        monkeypatch.setattr(simhash, "LOCAL_EDGES", most)
+        docs = docs_frame(spark, texts).select("doc_id", "text")
+        named, links = simhash.near_links(docs, 5, 0.8)
+        pairs = [(r.a, r.b) for r in links.collect()]
+        node = np.array([x for _, x in sorted(named.collect())])
+        roots = simhash._roots(len(texts), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))[node]
+        print("groups:", len(set(roots.tolist())), "of", len(set(true.tolist())), "most rows:", max(rows))
+        assert len(texts) / 20 < len(set(true.tolist())) < len(texts)
+        assert max(rows) < 50 * len(texts)
+        assert len(set(zip(true.tolist(), roots.tolist(), strict=True))) == len(set(true.tolist())) == len(set(roots.tolist()))
+
+
+def test_worker_keeps_the_caches_of_one_operator():
+    kept = packing.tokenizer(WORDS)
+    common.sole_cache(packing.tokenizer.cache_clear)
+    common.sole_cache(packing.tokenizer.cache_clear)
+    assert packing.tokenizer(WORDS) is kept
+    common.sole_cache(None)
+    assert packing.tokenizer.cache_info().currsize == 0
+    simhash.shingle_set("some words", 5)
+    simhash.forget_words()
+    assert not simhash._WORDS
+
+
 def test_near_dedup_of_short_texts_is_exact(spark):
     """Texts of a few shingles, some of them common to many: exactly the pairs of similarity 0.8 or more are joined."""
     rng = random.Random(11)
