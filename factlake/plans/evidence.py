@@ -27,7 +27,7 @@ from factlake.operators.deleter import Deleter
 from factlake.operators.maintenance import Maintenance, MaintenancePolicy, overlap_ratio
 from factlake.operators.recovery import Recovery
 from factlake.operators.updater import Updater
-from factlake.plans.catalogue import BATCH, GEO, UPSERTED, built, fresh_lake, geo_lake, orders_lake, registered, table, upsert_batch, upserted
+from factlake.plans.catalogue import BATCH, GEO, UPSERTED, built, fresh_lake, geo_lake, inlined_lake, orders_lake, registered, table, upsert_batch, upserted
 from factlake.sources.connect import connect, init_logger, postgres_options, s3_default_chain, s3_explicit
 from factlake.sources.lake import Lake
 from factlake.sources.log import LogStoreType
@@ -616,8 +616,7 @@ def overlap_of_files(spark, sf):
 @registered("flushed_rows", "SELECT * FROM orders UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey <= 3")
 def flushed(spark, sf):
     """Rows that the log had held, as a file; their ids stay, so the feed sees no change."""
-    lake = built(spark, table(spark, sf, "orders"), ["o_orderkey"], lake=fresh_lake(spark, options={"data_inlining_row_limit": 100}))
-    Updater(lake).update_database(table(spark, sf, "orders").filter("o_orderkey <= 3").withColumn("o_orderkey", F.col("o_orderkey") + 1000000))
+    lake = inlined_lake(spark, sf)
     keeper = Maintenance(lake)
     before = keeper.storage_report().inlined_rows
     done, last = keeper.flush_inlined_data(), lake.log.latest()

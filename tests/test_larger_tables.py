@@ -13,6 +13,7 @@ SOURCE = "/root/testdata/sf0.001/orders.parquet"
 #: Queries whose rows differed from their SQL's there, or that failed.
 MET = [
     "add_columns_outer_merge",
+    "flushed_rows",
     "inlined_rows_result",
 ]
 
