@@ -14,7 +14,12 @@ SOURCE = "/root/testdata/sf0.001/orders.parquet"
 MET = [
     "add_columns_outer_merge",
     "flushed_rows",
+    "compaction_result",
     "inlined_rows_result",
+    "recluster_file_ranges",
+    "storage_report_row",
+    "upsert_change_counts",
+    "upsert_result",
 ]
 
 
