@@ -18,6 +18,7 @@ MET = [
     "inlined_rows_result",
     "recluster_file_ranges",
     "storage_report_row",
+    "streaming_upsert",
     "upsert_change_counts",
     "upsert_result",
 ]
