@@ -364,7 +364,8 @@ def joined(spark, sf):
     """Two operations as one snapshot."""
     lake = orders_lake(spark, sf)
     with lake.transaction(author="both"):
-        Updater(lake).update_database(upsert_batch(table(spark, sf, "orders")))
+        if not Updater(lake).update_database(upsert_batch(table(spark, sf, "orders")), keep="all"):
+            raise RuntimeError("the upsert failed")
         Deleter(lake).delete_rows([("o_orderstatus", "=", "F")])
     if lake.log.latest() != 2:
         raise RuntimeError("more than one snapshot was published")

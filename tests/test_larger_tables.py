@@ -16,6 +16,7 @@ MET = [
     "flushed_rows",
     "compaction_result",
     "inlined_rows_result",
+    "joined_transaction",
     "recluster_file_ranges",
     "storage_report_row",
     "streaming_upsert",
