@@ -390,7 +390,8 @@ def audit_blocks(spark, sf):
 def upsert_then_compact(spark, sf):
     lake = orders_lake(spark, sf)
     updater = Updater(lake, compaction_window=timedelta(days=1))
-    updater.update_database(upsert_batch(table(spark, sf, "orders")), compact_after_update=True)
+    if not updater.update_database(upsert_batch(table(spark, sf, "orders")), keep="all", compact_after_update=True):
+        raise RuntimeError("the upsert failed")
     if set(updater.last_report.maintenance) != {"files_rewritten", "files_from_rewrite", "files_merged", "files_from_merge"}:
         raise RuntimeError("the report lacks counters")
     return lake.table("main")

@@ -22,6 +22,7 @@ MET = [
     "streaming_upsert",
     "upsert_change_counts",
     "upsert_result",
+    "upsert_then_compact",
 ]
 
 
