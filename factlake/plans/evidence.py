@@ -594,7 +594,7 @@ def pruned_upsert(spark, sf):
     "FROM (SELECT count(*) AS c FROM batch b JOIN orders o USING (o_orderkey) WHERE b.o_totalprice IS DISTINCT FROM o.o_totalprice)",
 )
 def storage_measures(spark, sf):
-    r = Maintenance(upserted(spark, sf)[0]).storage_report()
+    r = Maintenance(upserted_in_parts(spark, sf)[0]).storage_report()
     schema = "rows long, deleted_rows long, delete_ratio double, inlined_rows long, snapshots long, sized boolean, all_small boolean"
     return spark.createDataFrame([(r.rows, r.deleted_rows, r.delete_ratio, r.inlined_rows, r.snapshots, r.bytes > 0 and r.delete_files > 0 and not r.warnings, r.small_files == r.files)], schema)
 

@@ -19,6 +19,7 @@ MET = [
     "joined_transaction",
     "recluster_file_ranges",
     "report_measures",
+    "storage_measures",
     "storage_report_row",
     "streaming_upsert",
     "upsert_change_counts",
