@@ -6,8 +6,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from factlake.sources.lake import Lake, Transaction
 
 SOURCE = "/root/testdata/sf0.001/orders.parquet"
 #: Queries whose rows differed from their SQL's there, or that failed.
@@ -46,3 +48,26 @@ def test_query_gives_the_rows_of_its_sql(spark, grown, name):
         wanted = own.sql(entry.oracle_sql()[name])
         assert found.columns == wanted.columns
         assert Counter(map(tuple, found.collect())) == Counter(wanted.fetchall())
+
+
+def test_one_large_file_is_sorted_by_several_tasks(spark, tmp_path):
+    """The task that writes it sorts nothing: the ranges before it do, as many as the target size asks for."""
+    spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("id"), F.col("id").alias("v")).write.parquet(str(tmp_path / "rows"))
+    lake = Lake(spark, str(tmp_path / "lake"), options={"target_file_size": 20_000})
+    seen = []
+
+    class Watched(Transaction):
+        def _save(self, own, ready, parts, row_ids):
+            plan = ready._jdf.queryExecution().optimizedPlan()
+            seen.append((plan.nodeName(), "InMemoryRelation" in plan.toString(), ready.rdd.glom().map(len).collect()))
+            return super()._save(own, ready, parts, row_ids)
+
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    with lake.transaction() as t:
+        t.__class__ = Watched
+        own = t.create("main", "fact_table", rows.schema, ["id"])
+        t.insert(own, rows, files=1)
+    (file,) = lake.table_state("main", "fact_table").files.values()
+    found = [r.id for r in spark.read.parquet(f"{lake.root}/{file.path}").coalesce(1).collect()]
+    assert found == sorted(found) and len(set(found)) == file.rows == 20_000
+    assert seen == [("Repartition", True, [20_000])]
