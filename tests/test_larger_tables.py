@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from factlake.sources.lake import Lake, Transaction
 
-SOURCE = "/root/testdata/sf0.001/orders.parquet"
+SOURCE = "/root/testdata/sf0.01/orders.parquet"
 #: Queries whose rows differed from their SQL's there, or that failed.
 MET = [
     "add_columns_outer_merge",
